@@ -22,7 +22,7 @@ from placeloom.runtime import Scratch
 
 DELIMITERS = [",", ";", "\t", "|"]
 NUMBER = r"^[+-]?[0-9]+(\.[0-9]+)?$"
-BLANK = " \t\r\n\v\f   　﻿"
+BLANK = " \t\r\n\v\f\xa0  　﻿"
 #: Kinds of columns; a column that a layout doesn't name is text.
 LAYOUT = {"lat": "latitude", "lon": "longitude", "country": "country", "captured": "day"}
 _ARROW = {"latitude": pa.float64(), "longitude": pa.float64(), "day": pa.date32()}
