@@ -5,19 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placeloom.llm import bpe
+from placeloom.llm import bpe, lookalike
 from placeloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of addresses and texts of queries; a lone question mark is no text."""
+    names = table(spark, sf_dir, "osm_addresses").select(F.lit("name").alias("field"), F.col("rec_id").alias("key"), F.col("name").alias("text"))
+    texts = table(spark, sf_dir, "queries").select(F.lit("q").alias("field"), F.col("query_id").alias("key"), F.col("q").alias("text"))
+    return names.unionByName(texts)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.alike_pairs(_fields(spark, sf_dir), "field", "key", "text", ignore=["?"])
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = _fields(spark, sf_dir).filter("text is not null")
+    forms = lookalike.consistent_forms(fields, "text")
+    return fields.distinct().join(forms, "text").select("field", "key", "form")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_ids": p7_ids}
+    return {q.__name__: q for q in (p4_found, p4_forms, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
