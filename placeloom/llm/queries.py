@@ -7,12 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, lookalike
+from placeloom.llm import bpe, linkage, lookalike, same_address
 from placeloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def address_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the map and of the address files in one layout; a label's postcode stands in for a missing one."""
+    label_code = F.regexp_extract("label", r"\b([A-Za-z]{2}[0-9] ?[0-9][A-Za-z]{2}|[0-9]{5})\b", 1)
+    osm = table(spark, sf_dir, "osm_addresses").select(
+        F.col("rec_id").alias("rec"), "dataset", F.col("housenumber").alias("number"), "street", "unit",
+        F.coalesce("postcode", F.when(label_code != "", label_code)).alias("postcode"), "locality", "region", "lon", "lat",
+    )
+    rows = table(spark, sf_dir, "import_rows").select(
+        F.col("rec_id").alias("rec"), "dataset", "number", "street", "unit", "postcode",
+        F.coalesce("city", "district").alias("locality"), "region", "lon", "lat",
+    )
+    return osm.unionByName(rows)
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.link_records(address_records(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.link_records(address_records(spark, sf_dir)).select("rec_a", "rec_b")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    osm = table(spark, sf_dir, "osm_addresses")
+    labels = osm.select(F.col("rec_id").alias("key"), F.col("label").alias("text"))
+    texts = table(spark, sf_dir, "queries").select(F.col("query_id").alias("key"), F.col("q").alias("text"))
+    return same_address.same_address_pairs(
+        labels.unionByName(texts), osm.select(F.col("street").alias("text"), F.col("housenumber").alias("number")), osm.select(F.col("locality").alias("text"))
+    )
+
+
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of addresses and texts of queries; a lone question mark is no text."""
     names = table(spark, sf_dir, "osm_addresses").select(F.lit("name").alias("field"), F.col("rec_id").alias("key"), F.col("name").alias("text"))
@@ -35,7 +66,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p4_found, p4_forms, p7_ids)}
+    return {q.__name__: q for q in (p1_found, p1_links, p2_found, p4_found, p4_forms, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
