@@ -23,6 +23,8 @@ from placeloom.runtime import Scratch
 DELIMITERS = [",", ";", "\t", "|"]
 NUMBER = r"^[+-]?[0-9]+(\.[0-9]+)?$"
 BLANK = " \t\r\n\v\f\xa0  　﻿"
+#: Failing blocks of so many records go to the strict parser, which then costs less than halving on.
+STRICT = 8
 #: Kinds of columns; a column that a layout doesn't name is text.
 LAYOUT = {"lat": "latitude", "lon": "longitude", "country": "country", "captured": "day"}
 _ARROW = {"latitude": pa.float64(), "longitude": pa.float64(), "day": pa.date32()}
@@ -155,15 +157,15 @@ class BulkParser:
         lone: list[tuple[int, str | None, dict]] = []
         while todo:
             at, part = todo.pop()
-            good = self.bulk(part) if len(part) > 1 else None
+            good = self.bulk(part) if len(part) > STRICT else None
             if good is not None:
                 yield at, [None] * len(at), good
-            elif len(part) > 1:
+            elif len(part) > STRICT:
                 half = len(part) // 2
                 todo += [(at[:half], part[:half]), (at[half:], part[half:])]
-            elif len(part):
-                reason, values = diagnose(part[0].as_py(), self.delimiter, self.columns, self.layout)
-                lone.append((at[0].as_py(), reason, values))
+            else:
+                for i, record in zip(at.to_pylist(), part.to_pylist()):
+                    lone.append((i, *diagnose(record, self.delimiter, self.columns, self.layout)))
         if lone:
             columns = {
                 n: pa.array([v.get(n) for _, _, v in lone], _ARROW.get(self.layout.get(n, "text"), pa.string())) for n in self.columns if n in self.names
