@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, linkage, lookalike, pii, same_address
+from placeloom.llm import bpe, linkage, lookalike, mixing, pii, same_address
 from placeloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,15 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf_dir, "documents"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return out.withColumn("share", F.round("share", 6))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"), pii.given_names(table(spark, sf_dir, "given_names"), "given"))
 
@@ -74,7 +83,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p1_found, p1_links, p2_found, p4_found, p4_forms, p7_ids, p9_found, p9_redacted)}
+    return {q.__name__: q for q in (p1_found, p1_links, p2_found, p4_found, p4_forms, p7_ids, p8_mixture, p8_shares, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
