@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.operators import hierarchy, proximity, quarantine
+from placeloom.plans import scalar_queries  # noqa: F401  (fills the catalogue)
+from placeloom.plans.catalogue import QUERIES, SQL
 from placeloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +51,7 @@ def p6_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (p3_found, p3_hierarchy, p3_descendants, p5_found, p5_distances, p6_found, p6_valid)}
+    return {q.__name__: q for q in (p3_found, p3_hierarchy, p3_descendants, p5_found, p5_distances, p6_found, p6_valid)} | QUERIES
 
 
 _EDGES = r"""
@@ -88,4 +90,4 @@ from ends d left join looped l on l.id = d.id""",
         "p3_descendants": _EDGES + "select w.at as ancestor_id, w.id as entry_id, w.steps as distance from walk w where w.steps > 0 and w.id not in (select id from looped)",
         "p5_found": _NEAR + "select ping_id, rec_id from pairs where d <= 30",
         "p5_distances": _NEAR + "select ping_id, rec_id, round(d, 2) as distance_m from pairs where d <= 30",
-    }
+    } | SQL
