@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.operators import hierarchy, proximity, quarantine
-from placeloom.plans import scalar_queries  # noqa: F401  (fills the catalogue)
+from placeloom.plans import build_queries, scalar_queries  # noqa: F401  (fills the catalogue)
 from placeloom.plans.catalogue import QUERIES, SQL
 from placeloom.runtime import table
 
@@ -59,13 +59,13 @@ with recursive ids as (select distinct id from regions where id is not null),
 e0 as (select distinct id, lower(regexp_replace(parent, '^[\s\x{a0}\x{2000}-\x{200b}\x{202f}\x{3000}\x{feff}]+|[\s\x{a0}\x{2000}-\x{200b}\x{202f}\x{3000}\x{feff}]+$', '', 'g')) as p from regions where id is not null),
 k as (select lower(id) as p, min(id) as up from ids group by 1),
 e as (select i.id, min(k.up) as up from ids i left join e0 on e0.id = i.id left join k on k.p = e0.p group by i.id),
-walk(id, at, steps, path) as (
+walk(id, pos, steps, path) as (
   select id, id, 0, [id] from e
   union all
-  select w.id, e.up, w.steps + 1, list_prepend(e.up, w.path) from walk w join e on e.id = w.at
+  select w.id, e.up, w.steps + 1, list_prepend(e.up, w.path) from walk w join e on e.id = w.pos
   where e.up is not null and not list_contains(w.path, e.up)),
 last as (select w.* from walk w join (select id, max(steps) as m from walk group by 1) x on x.id = w.id and x.m = w.steps),
-ends as (select l.*, e.up as next from last l join e on e.id = l.at),
+ends as (select l.*, e.up as next from last l join e on e.id = l.pos),
 looped as (select id, list_min(list_slice(path, 1, list_position(path, next))) as cycle_id, list_slice(path, 1, list_position(path, next)) as ring from ends where next is not null)
 """
 _FAR = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
@@ -85,9 +85,9 @@ def oracle_sql() -> dict[str, str]:
         "p3_hierarchy": _EDGES
         + """select d.id as entry_id, case when l.id is null then d.path[1] end as root, case when l.id is null then d.steps end as depth,
   case when l.id is null then array_to_string(d.path, '/') end as path,
-  case when l.ring is null or not list_contains(l.ring, d.id) then (select count(*) from walk w where w.at = d.id) - 1 end as n_descendants, l.cycle_id
+  case when l.ring is null or not list_contains(l.ring, d.id) then (select count(*) from walk w where w.pos = d.id) - 1 end as n_descendants, l.cycle_id
 from ends d left join looped l on l.id = d.id""",
-        "p3_descendants": _EDGES + "select w.at as ancestor_id, w.id as entry_id, w.steps as distance from walk w where w.steps > 0 and w.id not in (select id from looped)",
+        "p3_descendants": _EDGES + "select w.pos as ancestor_id, w.id as entry_id, w.steps as distance from walk w where w.steps > 0 and w.id not in (select id from looped)",
         "p5_found": _NEAR + "select ping_id, rec_id from pairs where d <= 30",
         "p5_distances": _NEAR + "select ping_id, rec_id, round(d, 2) as distance_m from pairs where d <= 30",
     } | SQL
