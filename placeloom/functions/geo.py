@@ -90,14 +90,19 @@ def geohash(lat: Column, lon: Column, chars: int) -> Column:
     return F.concat(*[char(k) for k in range(chars)])
 
 
+def wrap(degrees: Column) -> Column:
+    """A longitude, or a difference of two, brought to -180 .. 180."""
+    return degrees - 360 * F.round(degrees / 360)
+
+
 def project_to_segment(lon: Column, lat: Column, lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) -> Column:
     """``struct(t, lon, lat, metres)`` of the nearest place on a segment, in a plane centred on the point."""
     kx = F.cos(F.radians(lat)) * DEGREE_M
-    ax, ay = (lon_a - lon) * kx, (lat_a - lat) * DEGREE_M
-    dx, dy = (lon_b - lon_a) * kx, (lat_b - lat_a) * DEGREE_M
+    ax, ay = wrap(lon_a - lon) * kx, (lat_a - lat) * DEGREE_M
+    dx, dy = wrap(lon_b - lon_a) * kx, (lat_b - lat_a) * DEGREE_M
     length = dx * dx + dy * dy
     t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length))).otherwise(0.0)
-    return F.struct(t.alias("t"), (lon_a + (lon_b - lon_a) * t).alias("lon"), (lat_a + (lat_b - lat_a) * t).alias("lat"), F.hypot(ax + dx * t, ay + dy * t).alias("metres"))
+    return F.struct(t.alias("t"), wrap(lon_a + wrap(lon_b - lon_a) * t).alias("lon"), (lat_a + (lat_b - lat_a) * t).alias("lat"), F.hypot(ax + dx * t, ay + dy * t).alias("metres"))
 
 
 def degree_window(lat: Column, radius_m: float) -> Column:
