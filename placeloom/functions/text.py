@@ -40,7 +40,7 @@ def latin_table() -> tuple[str, str, dict[str, str]]:
     for code in range(0xC0, 0x250):
         ch = chr(code).lower()
         letters = [c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)]
-        if len(letters) == 1 and letters[0].isascii() and letters[0] != ch and ch not in one:
+        if len(ch) == len(letters) == 1 and letters[0].isascii() and letters[0] != ch and ch not in one:
             one.append(ch)
             base.append(letters[0])
     for ch, b in {"ø": "o", "đ": "d", "ł": "l", "ı": "i", "ħ": "h", "ð": "d"}.items():

@@ -187,8 +187,8 @@ def points_in_regions(
 
     def cover(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for rid, shape in zip(frame["_r"], frame["_rings"]):
-                own = [np.array([(p["lon"], p["lat"]) for p in ring], float).reshape(-1, 2) for ring in (shape if shape is not None else [])]
+            for rid, x, y, sizes in zip(frame["_r"], frame["_x"], frame["_y"], frame["_sizes"]):
+                own = np.split(np.column_stack([np.asarray(x, float), np.asarray(y, float)]), np.cumsum(sizes)[:-1].astype(int)) if len(x) else []
                 own = [np.vstack([r, r[:1]]) if len(r) and (r[0] != r[-1]).any() else r for r in own]
                 own = [r for r in own if len(r) >= 4]
                 if not own:
@@ -201,6 +201,8 @@ def points_in_regions(
         regions.select(F.col(region_id).alias("_r"), F.col(rings).alias("_rings"))
         .filter("_r is not null and _rings is not null")
         .distinct()
+        .select("_r", F.filter("_rings", lambda r: r.isNotNull()).alias("_rings"))
+        .select("_r", F.transform(F.flatten("_rings"), lambda p: p["lon"]).alias("_x"), F.transform(F.flatten("_rings"), lambda p: p["lat"]).alias("_y"), F.transform("_rings", F.size).alias("_sizes"))
         .mapInPandas(cover, f"_r {id_type}, _level int, _cell long, _inside boolean, _edges array<double>")
     )
     once = points.select(F.col(point_id).alias("_id"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"))
