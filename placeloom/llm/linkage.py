@@ -35,12 +35,11 @@ class LabelModel:
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
         """``patterns``: distinct vote rows in -1, 0, 1; ``counts``: how often each occurs."""
         self.factors = [[i] for i in range(patterns.shape[1])]
-        self._em(patterns, counts)
         self.joined = self._most_correlated(patterns, counts)
         if self.joined:
             i, j = self.joined
             self.factors = [f for f in self.factors if f[0] not in (i, j)] + [[i, j]]
-            self._em(patterns, counts)
+        self._em(patterns, counts)
         return self
 
     def _codes(self, patterns: np.ndarray) -> list[np.ndarray]:
@@ -69,14 +68,18 @@ class LabelModel:
     def predict(self, patterns: np.ndarray) -> np.ndarray:
         return self._posterior(self._codes(patterns))
 
-    def _most_correlated(self, patterns: np.ndarray, counts: np.ndarray) -> tuple[int, int] | None:
-        """The pair of votes with the most mutual information given the class."""
-        post, best = self.predict(patterns), (0.01, None)
+    @staticmethod
+    def _most_correlated(patterns: np.ndarray, counts: np.ndarray) -> tuple[int, int] | None:
+        """The pair of votes with the most mutual information given the balance of all others.
+
+        Judged before the fit: two votes that copy each other would else be taken for the truth itself.
+        """
+        best = (0.01, None)
         for i, j in itertools.combinations(range(patterns.shape[1]), 2):
-            info = 0.0
-            for w in (counts * post, counts * (1 - post)):
+            balance, info = np.sign(patterns.sum(1) - patterns[:, i] - patterns[:, j]), 0.0
+            for c in (-1, 0, 1):
                 t = np.zeros((3, 3))
-                np.add.at(t, (patterns[:, i] + 1, patterns[:, j] + 1), w)
+                np.add.at(t, (patterns[balance == c, i] + 1, patterns[balance == c, j] + 1), counts[balance == c])
                 if t.sum() > 0:
                     p = t / t.sum()
                     e = p.sum(1, keepdims=True) * p.sum(0, keepdims=True)
