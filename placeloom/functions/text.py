@@ -87,6 +87,11 @@ def is_street_type(word: Column) -> Column:
     return word.isin(STREET_TYPES)
 
 
+def let(value: Column, use) -> Column:
+    """An expression over a value that is computed once: inside a lambda its array would be built for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _words(key: Column) -> Column:
     return F.split(key, " ")
 
@@ -96,37 +101,41 @@ def expand_abbreviations(key: Column) -> Column:
 
     "king st w" is "king street west"; an initial "st" or one behind a number stays; "twenty first street" is "21st street".
     """
-    words = _words(key)
     at = lambda a, i: F.get(a, i)
     types, directions = pairs(ABBREVIATIONS), pairs(DIRECTIONS)
-    typed = F.transform(
-        words, lambda w, i: F.when((w == "st") & ((i == 0) | is_numeric(at(words, i - 1))), w).otherwise(F.coalesce(lookup(types, w), w))
-    )
-    full = F.transform(typed, lambda w, i: F.when((i > 0) & (w == at(words, i)) & is_street_type(at(typed, i - 1)), F.coalesce(lookup(directions, w), w)).otherwise(w))
     numbers = {w: str(i + 1) for i, w in enumerate(ORDINALS)} | {w[:-1] + "ieth": str(20 + 10 * i) for i, w in enumerate(TENS)}
     tens = {w: str(20 + 10 * i) for i, w in enumerate(TENS)}
 
-    def ordinal(i):  # of the word at i, where a street type follows
-        return F.when(is_street_type(at(full, i + 1)), lookup(numbers, at(full, i)).cast("int"))
+    def typed(words):
+        return F.transform(words, lambda w, i: F.when((w == "st") & ((i == 0) | is_numeric(at(words, i - 1))), w).otherwise(F.coalesce(lookup(types, w), w)))
+
+    def full(words, typed):
+        return F.transform(typed, lambda w, i: F.when((i > 0) & (w == at(words, i)) & is_street_type(at(typed, i - 1)), F.coalesce(lookup(directions, w), w)).otherwise(w))
 
-    def number(i):
-        n = ordinal(i)
-        n = n + F.when((n < 10) & (i > 0), F.coalesce(lookup(tens, at(full, i - 1)).cast("int"), F.lit(0))).otherwise(0)
+    def ordinals(words):  # of each word that a street type follows
+        return F.transform(words, lambda w, i: F.when(is_street_type(at(words, i + 1)), lookup(numbers, w).cast("int")))
+
+    def number(words, ordinal, i):
+        n = at(ordinal, i)
+        n = n + F.when((n < 10) & (i > 0), F.coalesce(lookup(tens, at(words, i - 1)).cast("int"), F.lit(0))).otherwise(0)
         end = F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
         return F.concat(n.cast("string"), end)
 
-    out = F.transform(
-        full,
-        lambda w, i: F.when(ordinal(i).isNotNull(), number(i)).when(lookup(tens, w).isNotNull() & (ordinal(i + 1) < 10), F.lit(None)).otherwise(w),
-    )
+    def written(words, ordinal):
+        drop = lambda w, i: lookup(tens, w).isNotNull() & F.coalesce(at(ordinal, i + 1) < 10, F.lit(False))
+        return F.transform(words, lambda w, i: F.when(at(ordinal, i).isNotNull(), number(words, ordinal, i)).when(drop(w, i), F.lit(None)).otherwise(w))
+
+    out = let(_words(key), lambda ws: let(typed(ws), lambda ts: let(full(ws, ts), lambda fs: let(ordinals(fs), lambda os: written(fs, os)))))
     return F.array_join(out, " ")
 
 
 def street_text(key: Column) -> Column:
     """As :func:`expand_abbreviations`, and a direction that ends the street in full, whatever precedes it."""
-    words = _words(expand_abbreviations(key))
-    last = F.element_at(words, -1)
-    return F.concat_ws(" ", F.slice(words, F.lit(1), F.size(words) - 1), F.coalesce(lookup(pairs(DIRECTIONS), last), last))
+    last = lambda ws: F.element_at(ws, -1)
+    return let(
+        _words(expand_abbreviations(key)),
+        lambda ws: F.concat_ws(" ", F.slice(ws, F.lit(1), F.size(ws) - 1), F.coalesce(lookup(pairs(DIRECTIONS), last(ws)), last(ws))),
+    )
 
 
 def number_terms(number: Column) -> Column:

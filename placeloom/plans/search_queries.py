@@ -12,7 +12,7 @@ from placeloom.plans.build_queries import _K, _KI, _LOC, _PINGS, _WK, DIST, keye
 from placeloom.plans.catalogue import SQL, query
 from placeloom.plans.confidence import fit_logistic, rate
 from placeloom.plans.scalar_queries import _EXPAND, ADR, DEG, OK_, addresses, key
-from placeloom.runtime import table
+from placeloom.runtime import Scratch, table
 
 UNIT_WORDS = "flat|unit|apt|apartment|suite|wohnung|whg|piso"
 _QS = "(select distinct query_id, q from queries where q is not null)"
@@ -235,14 +235,21 @@ def q26(spark, sf):
 
 
 def reverse_ladder(spark: SparkSession, sf: str, pings: DataFrame) -> DataFrame:
-    """Q26: the first of address, street and area that is near enough; later steps see only what is still open."""
-    points = pings.select("ping_id", "lon", "lat").filter(geo.is_point(F.col("lon"), F.col("lat"))).distinct()
+    """Q26: the first of address, street and area that is near enough; later steps see only what is still open.
+
+    What each step answers is written down, so that no step runs again for the next.
+    """
+    scratch = Scratch(spark, "reverse")
+    points = scratch.write(pings.select("ping_id", "lon", "lat").filter(geo.is_point(F.col("lon"), F.col("lat"))).distinct())
     a = relational.nearest(points, addresses(spark, sf), 30.0, "ping_id", "rec_id").select("ping_id", F.lit("address").alias("layer"), F.col("rec_id").cast("string").alias("answer"))
+    a = scratch.write(a)
     open_ = points.join(a, "ping_id", "left_anti")
     g = near_segments(open_, street_segments(spark, sf), 30.0).select("ping_id", F.lit("street").alias("layer"), F.col("rec_id").cast("string").alias("answer"))
-    open_ = open_.join(g, "ping_id", "left_anti")
+    g = scratch.write(g)
+    open_ = scratch.write(open_.join(g, "ping_id", "left_anti"))
     places = addresses(spark, sf).filter(geo.is_point(F.col("lon"), F.col("lat")) & F.col("locality").isNotNull()).groupBy("locality").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
     near = relational.nearest(open_, places, 50_000.0, "ping_id", "locality").select("ping_id", F.lit("area").alias("layer"), F.col("locality").alias("answer"))
+    near = scratch.write(near)
     none = open_.join(near, "ping_id", "left_anti").select("ping_id", F.lit("none").alias("layer"), F.lit(None).cast("string").alias("answer")).distinct()
     return a.unionByName(g).unionByName(near).unionByName(none)
 
