@@ -182,7 +182,7 @@ def name_words(words: DataFrame, lex: DataFrame, scratch: Scratch) -> DataFrame:
     """``(word, name, kind, role, n)`` for the distinct ``words(word)``.
 
     A word found in the lexicon is that, unless it is rare there and one letter (or a swap of two) away from a
-    spelling three times as common; one not found is the commonest spelling so near, whole or without an
+    spelling more than twice as common; one not found is the commonest spelling so near, whole or without an
     ending; a word near nothing is its own name, with no role.
     """
 
@@ -196,7 +196,7 @@ def name_words(words: DataFrame, lex: DataFrame, scratch: Scratch) -> DataFrame:
     spellings = taken.select("spelling").distinct().join(lex.select("spelling", F.col("n").alias("own")), "spelling", "left")
     probe = spellings.filter(F.length("spelling") >= 5).select("spelling", F.coalesce("own", F.lit(0)).alias("own"), F.explode(_deletions(F.col("spelling"))).alias("gap"))
     target = lex.filter("length(spelling) >= 5 and n >= 2").select(F.col("spelling").alias("to"), F.col("n").alias("n_to"), F.explode(_deletions(F.col("spelling"))).alias("gap"))
-    near = probe.join(target.hint("merge"), "gap").filter("to != spelling and n_to >= 3 * own + 2 and own <= 3 and levenshtein(spelling, to) <= 2")
+    near = probe.join(target.hint("merge"), "gap").filter("to != spelling and n_to >= 2 * own + 1 and own <= 3 and levenshtein(spelling, to) <= 2")
     fixed = near.groupBy("spelling").agg(F.max(F.struct((-F.levenshtein("spelling", "to")).alias("d"), "n_to", "to")).alias("fix"))
     known = spellings.join(fixed, "spelling", "left").select("spelling", F.coalesce("fix.to", F.when(F.col("own").isNotNull(), F.col("spelling"))).alias("as"), F.col("fix").isNotNull().alias("mended"))
     full = known.filter("`as` is not null").join(lex.withColumnRenamed("spelling", "as"), "as")
