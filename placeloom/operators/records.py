@@ -44,13 +44,13 @@ def within_stated_area(rows: DataFrame, files: DataFrame, boxes: DataFrame, prob
     """
     stated = files.filter("area is not null").select("dataset", F.col("area").alias("country")).distinct().join(boxes, "country")
     inside = F.coalesce(F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")), F.lit(False))
-    judged = rows.join(F.broadcast(stated), "dataset").select("rec_id", "dataset", "file_row", inside.alias("inside"))
+    judged = rows.join(stated, "dataset").select("rec_id", "dataset", "file_row", inside.alias("inside"))
     # the first rows: ranked within pieces of a file, then among the pieces' firsts, so that no file is sorted in one task
     first = judged.withColumn("_p", F.pmod(F.xxhash64("rec_id"), F.lit(64)))
     first = first.withColumn("_r", F.row_number().over(Window.partitionBy("dataset", "_p").orderBy("file_row", "rec_id"))).filter(F.col("_r") <= probe)
     first = first.withColumn("_r", F.row_number().over(Window.partitionBy("dataset").orderBy("file_row", "rec_id"))).filter(F.col("_r") <= probe)
     good = first.groupBy("dataset").agg(F.avg(F.col("inside").cast("double")).alias("share")).filter("share >= 0.5").select("dataset")
-    return judged.filter("inside").join(F.broadcast(good), "dataset").select("rec_id", "dataset")
+    return judged.filter("inside").join(good, "dataset").select("rec_id", "dataset")
 
 
 def strictest(candidates: DataFrame, key: str, level: str) -> DataFrame:
