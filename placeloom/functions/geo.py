@@ -95,6 +95,30 @@ def wrap(degrees: Column) -> Column:
     return degrees - 360 * F.round(degrees / 360)
 
 
+def extent(lon: Column) -> tuple[Column, Column, Column]:
+    """Aggregates ``(west, east, mean)`` of longitudes.
+
+    Where the span over the date line is the narrower one, east lies beyond 180 and so may the mean.
+    """
+    over = F.when(lon < 0, lon + 360).otherwise(lon)
+    crosses = (F.min(lon) < 0) & (F.max(lon) >= 0) & (F.max(over) - F.min(over) < F.max(lon) - F.min(lon))
+    pick = lambda a, b: F.when(crosses, a).otherwise(b)
+    return pick(F.min(over), F.min(lon)), pick(F.max(over), F.max(lon)), pick(F.avg(over), F.avg(lon))
+
+
+def box_rings(w: Column, s: Column, e: Column, n: Column) -> Column:
+    """Rings of a box for ``points_in_regions``; one that crosses the date line, e over 180 or w under -180, gives two."""
+    corner = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    ring = lambda x0, x1: F.array(corner(x0, s), corner(x1, s), corner(x1, n), corner(x0, n), corner(x0, s))
+    first, last = F.lit(-180.0), F.lit(180.001)  # containment leaves out the eastern edge
+    return (
+        F.when(e - w >= 360, F.array(ring(first, last)))
+        .when(e > 180, F.array(ring(w, last), ring(first, e - 360)))
+        .when(w < -180, F.array(ring(w + 360, last), ring(first, e)))
+        .otherwise(F.array(ring(w, e)))
+    )
+
+
 def project_to_segment(lon: Column, lat: Column, lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) -> Column:
     """``struct(t, lon, lat, metres)`` of the nearest place on a segment, in a plane centred on the point."""
     kx = F.cos(F.radians(lat)) * DEGREE_M

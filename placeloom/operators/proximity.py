@@ -180,7 +180,7 @@ def points_in_regions(
     on the border are halved down to ``top_deg / 2**levels``. Unusable points, null ids and regions
     without a ring of three corners pair with nothing; repeated rows count once.
 
-    A point looks itself up once per level. Regions on a border cell carry their rings to it, so the
+    A point looks itself up once per level that any cell has. Regions on a border cell carry their rings to it, so the
     exact test needs no second join.
     """
     id_type = regions.schema[region_id].dataType.simpleString()
@@ -207,7 +207,7 @@ def points_in_regions(
     )
     once = points.select(F.col(point_id).alias("_id"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"))
     once = once.filter(F.col("_id").isNotNull() & is_point(F.col("lon"), F.col("lat"))).distinct()
-    probe = once.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("_side", F.lit(top_deg) / F.pow(F.lit(2.0), "_level"))
+    probe = once.crossJoin(F.broadcast(cells.select("_level").distinct())).withColumn("_side", F.lit(top_deg) / F.pow(F.lit(2.0), "_level"))
     probe = probe.withColumn(
         "_cell", F.floor((F.col("lat") + 90) / F.col("_side")).cast("long") * _SHIFT + F.floor((F.col("lon") + 180) / F.col("_side")).cast("long")
     )

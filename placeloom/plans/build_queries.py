@@ -46,16 +46,16 @@ _BOX = f"(select locality, min(lon) - 0.001 as w, min(lat) - 0.001 as s, max(lon
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Box of every locality, however wide; one on the date line has its east beyond 180."""
     a = addresses(spark, sf).filter(geo.is_point(F.col("lon"), F.col("lat")) & F.col("locality").isNotNull())
-    box = a.groupBy("locality").agg((F.min("lon") - 0.001).alias("w"), (F.min("lat") - 0.001).alias("s"), (F.max("lon") + 0.001).alias("e"), (F.max("lat") + 0.001).alias("n"))
-    return box.filter("e - w < 1.002")
+    west, east, _ = geo.extent(F.col("lon"))
+    return a.groupBy("locality").agg((west - 0.001).alias("w"), (F.min("lat") - 0.001).alias("s"), (east + 0.001).alias("e"), (F.max("lat") + 0.001).alias("n"))
 
 
 @query("j4_containment", f"select distinct ping_id, locality from (select distinct ping_id, lon, lat from pings where {OK_}) p join {_BOX} b on p.lon > b.w and p.lon < b.e and p.lat > b.s and p.lat < b.n")
 def j4(spark, sf):
-    corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
-    rings = boxes(spark, sf).select("locality", F.array(F.array(corner("w", "s"), corner("e", "s"), corner("e", "n"), corner("w", "n"), corner("w", "s"))).alias("rings"))
-    return proximity.points_in_regions(table(spark, sf, "pings"), rings, "ping_id", "locality", top_deg=0.25, levels=4)
+    rings = boxes(spark, sf).select("locality", geo.box_rings(*[F.col(c) for c in "wsen"]).alias("rings"))
+    return proximity.points_in_regions(table(spark, sf, "pings"), rings, "ping_id", "locality", top_deg=16.0, levels=10)
 
 
 @query("a6_best_area", f"select ping_id, min_by(locality, (e - w) * (n - s)) as locality, count(*) > 1 as ambiguous from (select distinct ping_id, lon, lat from pings where {OK_}) p join {_BOX} b on p.lon > b.w and p.lon < b.e and p.lat > b.s and p.lat < b.n group by ping_id")
@@ -114,11 +114,15 @@ def j9(spark, sf):
 _LOC = f"(select locality, avg(lon) as lon, avg(lat) as lat from (select distinct rec_id, locality, lon, lat from osm_addresses where {OK_} and locality is not null) group by locality)"
 
 
+def locality_points(spark: SparkSession, sf: str) -> DataFrame:
+    a = addresses(spark, sf).filter(geo.is_point(F.col("lon"), F.col("lat")) & F.col("locality").isNotNull())
+    return a.groupBy("locality").agg(geo.wrap(geo.extent(F.col("lon"))[2]).alias("lon"), F.avg("lat").alias("lat"))
+
+
 @query("j12_context_points", f"""select rec_id, locality, distance_m, cast(rank as integer) as rank from (select *, row_number() over (partition by rec_id order by distance_m, locality) as rank from (
  select a.rec_id, b.locality, round({DIST}, 3) as distance_m from (select distinct rec_id, lon, lat from osm_addresses where {OK_}) a join {_LOC} b on abs(a.lat - b.lat) < 0.5) where distance_m <= 50000) where rank <= 16""")
 def j12(spark, sf):
-    places = addresses(spark, sf).filter(geo.is_point(F.col("lon"), F.col("lat")) & F.col("locality").isNotNull()).groupBy("locality").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
-    return relational.nearest(addresses(spark, sf), places, 50_000.0, "rec_id", "locality", k=16)
+    return relational.nearest(addresses(spark, sf), locality_points(spark, sf), 50_000.0, "rec_id", "locality", k=16)
 
 
 @query("a12_nesting_pairs", f"select distinct locality as inner_area, region as outer_area from {ADR} where locality is not null and region is not null union select distinct region, country from {ADR} where region is not null and country is not null")

@@ -262,9 +262,11 @@ def g20(spark, sf):
 
 @query("g10_a15_extents", f"select p.locality, round(avg(lon), 5) as lon, round(avg(lat), 5) as lat, min(lon) as west, min(lat) as south, max(lon) as east, max(lat) as north, cast(count(*) as bigint) as n from (select distinct rec_id, locality, lon, lat from osm_addresses where {OK_}) p where locality is not null group by p.locality")
 def g10(spark, sf):
+    """An area on the date line has its west greater than its east."""
     rows = addresses(spark, sf).filter(geo.is_point(F.col("lon"), F.col("lat")) & F.col("locality").isNotNull()).select("rec_id", "locality", "lon", "lat").distinct()
+    west, east, mean = geo.extent(F.col("lon"))
     return rows.groupBy("locality").agg(
-        F.round(F.avg("lon"), 5).alias("lon"), F.round(F.avg("lat"), 5).alias("lat"), F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"), F.count(F.lit(1)).alias("n")
+        F.round(geo.wrap(mean), 5).alias("lon"), F.round(F.avg("lat"), 5).alias("lat"), west.alias("west"), F.min("lat").alias("south"), geo.wrap(east).alias("east"), F.max("lat").alias("north"), F.count(F.lit(1)).alias("n")
     )
 
 

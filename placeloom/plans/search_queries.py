@@ -247,8 +247,7 @@ def reverse_ladder(spark: SparkSession, sf: str, pings: DataFrame) -> DataFrame:
     g = near_segments(open_, street_segments(spark, sf), 30.0).select("ping_id", F.lit("street").alias("layer"), F.col("rec_id").cast("string").alias("answer"))
     g = scratch.write(g)
     open_ = scratch.write(open_.join(g, "ping_id", "left_anti"))
-    places = addresses(spark, sf).filter(geo.is_point(F.col("lon"), F.col("lat")) & F.col("locality").isNotNull()).groupBy("locality").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
-    near = relational.nearest(open_, places, 50_000.0, "ping_id", "locality").select("ping_id", F.lit("area").alias("layer"), F.col("locality").alias("answer"))
+    near = relational.nearest(open_, build.locality_points(spark, sf), 50_000.0, "ping_id", "locality").select("ping_id", F.lit("area").alias("layer"), F.col("locality").alias("answer"))
     near = scratch.write(near)
     none = open_.join(near, "ping_id", "left_anti").select("ping_id", F.lit("none").alias("layer"), F.lit(None).cast("string").alias("answer")).distinct()
     return a.unionByName(g).unionByName(near).unionByName(none)
