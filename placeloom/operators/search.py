@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from placeloom.operators.relational import lowest_per_group
+from placeloom.runtime import Scratch
 
 K1 = 1.2
 
@@ -19,19 +21,41 @@ def index_terms(docs: DataFrame, doc_id: str, key: Column) -> DataFrame:
 def bm25_top(index: DataFrame, queries: DataFrame, query_id: str, key: Column, k: int = 5) -> DataFrame:
     """``(query_id, doc, score, rank)``: best documents by BM25 without length norms, ties by document.
 
-    Candidates of a query are the documents with its rarest indexed word; its other words only score them. So
-    a word in a third of all documents is never a join key of candidates by itself unless a query is nothing else.
+    Every document with any word of a query counts; those that cannot be among the best are skipped by an exact bound
+    (MaxScore). Documents of a query's rarest words are scored first, the k-th best of them is a floor. Words so common
+    that all of them together stay below the floor fetch no documents by themselves, and the documents of the
+    other words are completed only where they can still reach it. Queries of the same words are answered once.
     """
+    scratch = Scratch(index.sparkSession, "bm25")
+    slack = 1e-5  # over what rounding to six digits can move
+    index = scratch.write(index)
     total = index.select("doc").distinct().agg(F.count(F.lit(1)).alias("_n"))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(F.split(key, " "))).alias("term")).join(df, "term")
-    rarest = asked.groupBy("q").agg(F.min(F.struct("df", "term")).alias("_r")).select("q", F.col("_r.term").alias("term"))
-    candidates = rarest.join(index.select("doc", "term"), "term").select("q", "doc")
-    scored = candidates.join(asked.crossJoin(F.broadcast(total)), "q").join(index, ["doc", "term"])
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most")).crossJoin(F.broadcast(total))
+    part = lambda tf: F.col(tf) * (K1 + 1) / (F.col(tf) + K1)
     idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1)
-    sums = scored.groupBy("q", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-    return lowest_per_group(sums, ["q"], [F.desc("score"), "doc"], k).select(F.col("q").alias(query_id), "doc", "score", "rank")
+    words = df.select("term", "df", idf.alias("idf"), (idf * part("most")).alias("bound"))
+    asked = queries.select(F.col(query_id).alias("q"), F.explode(F.split(key, " ")).alias("term")).join(words.select("term"), "term")
+    asked = scratch.write(asked.groupBy("q").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("w")))
+    rarest = Window.partitionBy("w").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    commonest = Window.partitionBy("w").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    terms = asked.select("w").distinct().select("w", F.explode(F.split("w", " ")).alias("term")).join(words, "term")
+    terms = terms.withColumn("first", F.coalesce(F.sum("df").over(rarest), F.lit(0)) < 4 * k).withColumn("sum", F.sum("bound").over(commonest))
+    terms = scratch.write(terms)
+    value = (F.col("idf") * part("tf")).alias("value")
+    added = lambda rows: rows.groupBy("w", "doc").agg(F.sum("value").alias("value"))
+    some = added(terms.filter("first").join(index, "term").select("w", "doc", value))
+    some = lowest_per_group(some, ["w"], [F.desc("value"), "doc"], 10 * k).select("w", "doc")
+    some = added(some.join(terms, "w").join(index, ["doc", "term"]).select("w", "doc", value))
+    floor = lowest_per_group(some, ["w"], [F.desc("value"), "doc"], k).groupBy("w").agg(F.min("value").alias("floor"), F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == k)
+    terms = terms.join(floor.select("w", (F.col("floor") - slack).alias("floor")), "w", "left").withColumn("fetch", F.coalesce(F.col("sum") >= F.col("floor"), F.lit(True)))
+    terms = scratch.write(terms)
+    rest = terms.groupBy("w").agg(F.max("floor").alias("floor"), F.sum(F.when(F.col("fetch"), 0.0).otherwise(F.col("bound"))).alias("rest"))
+    found = added(terms.filter("fetch").join(index, "term").select("w", "doc", value))
+    found = scratch.write(found.join(rest, "w").filter("floor is null or value + rest >= floor").select("w", "doc", "value"))
+    more = found.select("w", "doc").join(terms.filter("not fetch"), "w").join(index, ["doc", "term"]).select("w", "doc", value)
+    sums = added(found.unionByName(more)).select("w", "doc", F.round("value", 6).alias("score"))
+    best = lowest_per_group(sums, ["w"], [F.desc("score"), "doc"], k)
+    return asked.join(best, "w").select(F.col("q").alias(query_id), "doc", "score", "rank")
 
 
 def deletions(word: Column) -> Column:
