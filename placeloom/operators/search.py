@@ -63,16 +63,27 @@ def deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), cut))
 
 
+def gaps(word: Column, twice: Column) -> Column:
+    """What is left of a word without one letter, or two where ``twice`` holds; the first letter stays."""
+    tail = F.substring(word, F.lit(2), F.length(word))
+    once = deletions(tail)
+    two = F.array_distinct(F.concat(once, F.flatten(F.transform(F.filter(once, lambda x: F.length(x) > 0), deletions))))
+    return F.transform(F.when(twice, two).otherwise(once), lambda t: F.concat(F.substring(word, 1, 1), t))
+
+
 def typo_expansion(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(word, correction, n)``: vocabulary words one letter from a word of four letters or more that isn't among them.
+    """``(word, correction, n)``: vocabulary words that a word of four letters or more may stand for.
 
-    The first letter stays, numbers are left alone. ``words(word)``, ``vocabulary(term, n)``. Words meet over a shared
-    deletion instead of in pairs.
+    One edit away for four to six letters, two for a longer word, and more common than the word itself. The first
+    letter stays, numbers are left alone. ``words(word)``, ``vocabulary(term, n)``. Words meet over a shared deletion
+    instead of in pairs.
     """
-    unknown = words.select("word").distinct().filter("length(word) >= 4 and not word rlike '[0-9]'").join(vocabulary, F.col("word") == F.col("term"), "left_anti")
-    left = unknown.select("word", F.explode(deletions(F.col("word"))).alias("gap"))
-    right = vocabulary.filter("length(term) >= 3 and not term rlike '[0-9]'").select("term", "n", F.explode(deletions(F.col("term"))).alias("gap"))
-    met = left.join(right, "gap").filter("levenshtein(word, term) <= 1 and left(word, 1) = left(term, 1)")
+    own = vocabulary.select(F.col("term").alias("word"), F.col("n").alias("own"))
+    said = words.select("word").distinct().filter("length(word) >= 4 and not word rlike '[0-9]'").join(own, "word", "left").fillna(0, ["own"])
+    left = said.select("word", "own", F.explode(gaps(F.col("word"), F.length("word") >= 7)).alias("gap"))
+    right = vocabulary.filter("length(term) >= 3 and not term rlike '[0-9]'").select("term", "n", F.explode(gaps(F.col("term"), F.length("term") >= 5)).alias("gap"))
+    near = "levenshtein(word, term) <= if(length(word) >= 7, 2, 1) and left(word, 1) = left(term, 1)"
+    met = left.join(right, "gap").filter(f"word != term and n > own and {near}")
     return met.select("word", F.col("term").alias("correction"), "n").distinct()
 
 
