@@ -52,11 +52,12 @@ def parent_edges(rows: DataFrame, id_col: str = "id", parent_col: str = "parent"
 
 
 def hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent", paths: bool = True) -> DataFrame:
-    """One row per entry: ``entry_id, root, depth, path, n_descendants, cycle_id``.
+    """One row per entry: ``entry_id, root, depth, path, n_descendants, below, cycle_id``.
 
     ``path`` is the array of ids from the root to the entry, ``depth`` 0 at a root. An entry whose
     chain of parents runs into a cycle has ``cycle_id``, the smallest id on that cycle, and null
-    root, depth and path; ``n_descendants`` is null only on the cycle itself. Null, empty and unknown
+    root, depth and path; ``n_descendants`` is null only on the cycle itself, and ``below`` is the way down to
+    the entry, which may begin with ids of the cycle. Null, empty and unknown
     parents end a chain; an empty table gives no rows. ``paths=False`` gives ``entry_id, root, depth,
     cycle_id`` alone, at less cost.
     """
@@ -139,7 +140,7 @@ def hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent", p
         F.col("v").alias("entry_id"),
         F.when(free, F.col("root")).alias("root"),
         F.when(free, F.col("depth")).alias("depth"),
-        *([F.when(free, F.col("path")).alias("path"), (F.col("size") - 1).alias("n_descendants")] if paths else []),
+        *([F.when(free, F.col("path")).alias("path"), (F.col("size") - 1).alias("n_descendants"), F.when(~free, F.col("path")).alias("below")] if paths else []),
         "cycle_id",
     )
 
@@ -150,13 +151,19 @@ def cycles(rows: DataFrame, id_col: str = "id", parent_col: str = "parent") -> D
 
 
 def descendants(paths: DataFrame) -> DataFrame:
-    """``(ancestor_id, entry_id, distance)`` from the result of :func:`hierarchy`, one row per pair, no shuffle.
+    """``(ancestor_id, entry_id, distance)`` from the result of :func:`hierarchy`, one row per pair.
 
-    Lists stay rows: the root of a third of all entries never becomes one value.
+    Entries below a cycle have the ancestors between the cycle and them; entries of a cycle are in no pair. So
+    each entry is the ancestor of as many as ``n_descendants`` says. Lists stay rows: the root of a third of all
+    entries never becomes one value. Only pairs below cycles are shuffled.
     """
-    return (
-        paths.filter("path is not null")
-        .select("entry_id", "depth", F.posexplode("path").alias("at", "ancestor_id"))
-        .filter("at < depth")
-        .select("ancestor_id", "entry_id", (F.col("depth") - F.col("at")).alias("distance"))
-    )
+
+    def pairs(way: str) -> DataFrame:
+        up = paths.filter(f"{way} is not null").select("entry_id", F.size(way).alias("_n"), F.posexplode(way).alias("at", "ancestor_id"))
+        return up.filter("at < _n - 1").select("ancestor_id", "entry_id", (F.col("_n") - 1 - F.col("at")).alias("distance"))
+
+    ring = paths.filter("cycle_id is not null and n_descendants is null").select(F.col("entry_id").alias("_v"))
+    under = pairs("below")
+    for c in ("entry_id", "ancestor_id"):
+        under = under.join(ring, F.col(c) == F.col("_v"), "left_anti")
+    return pairs("path").unionByName(under)

@@ -22,7 +22,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hierarchy.hierarchy(table(spark, sf_dir, "regions"))
-    return out.withColumn("path", F.array_join("path", "/"))
+    return out.withColumn("path", F.array_join("path", "/")).drop("below")
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
