@@ -107,9 +107,9 @@ def mix_sources(
     """``(doc_id, source, uses, n_tokens)``: the documents of the mixture and how often each is used.
 
     ``targets(source, weight, max_repeats)``, a short table read whole; of repeated rows of a source one counts.
-    Texts that are equal are one document, which may serve any source it occurs in, and is named by its smallest
-    id there. Null, empty and blank-source documents, sources not listed, and those of weight or repeats 0 or
-    null have no share. A text is never used more than ``max_repeats`` times for a source. The total is the
+    Texts that are equal in several sources are one document, which may serve any of them, and is named by its id
+    there; copies within a source are documents of their own. Null, empty and blank-source documents, sources not
+    listed, and those of weight or repeats 0 or null have no share. A document is never used more than ``max_repeats`` times for a source. The total is the
     largest at which every source that has any tokens can reach its weight; shares are then met to within a
     text or so. The choice depends on ``seed`` and the texts alone.
 
@@ -122,8 +122,10 @@ def mix_sources(
     base = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     base = base.filter(F.col("id").isNotNull() & F.col("source").isin(list(wanted)) & (F.length("text") > 0)).withColumn("content", F.md5("text"))
     counted = scratch.write(token_counts(base, "text", vocabulary, ["id", "source", "content"]))
-    each = counted.groupBy("content", "source").agg(F.min("id").alias("id"), F.max("n_tokens").alias("n"))
-    texts = each.groupBy("content").agg(F.array_sort(F.collect_list(F.struct("source", "id"))).alias("at"), F.max("n").alias("n")).withColumn("pattern", F.array_join("at.source", "\x1f"))
+    # the first copy of a text in one source shares an item with the first in another, and so on
+    each = counted.groupBy("content", "source", "id").agg(F.max("n_tokens").alias("n"))
+    each = each.withColumn("copy", F.row_number().over(Window.partitionBy("content", "source").orderBy("id")))
+    texts = each.groupBy("content", "copy").agg(F.array_sort(F.collect_list(F.struct("source", "id"))).alias("at"), F.max("n").alias("n")).withColumn("pattern", F.array_join("at.source", "\x1f"))
     texts = scratch.write(texts)
     sums = {tuple(r.pattern.split("\x1f")): (r.tokens, r.texts) for r in texts.groupBy("pattern").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("texts")).collect()}
     plan = plan_mix({p: t for p, (t, _) in sums.items()}, {s: w for s, (w, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()})
@@ -137,7 +139,7 @@ def mix_sources(
     laid = texts.withColumn("o", order).withColumn("bucket", F.pmod(F.shiftrightunsigned("o", 3), F.lit(buckets)))
     ahead = laid.groupBy("pattern", "bucket").agg(F.sum("n").alias("s"))
     before = ahead.withColumn("before", F.sum("s").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("s")).drop("s")
-    inside = Window.partitionBy("pattern", "bucket").orderBy("o", "content")
+    inside = Window.partitionBy("pattern", "bucket").orderBy("o", "content", "copy")
     tape = laid.withColumn("c", F.sum("n").over(inside) - F.col("n")).join(before, ["pattern", "bucket"]).withColumn("c", F.col("c") + F.col("before"))
     met = tape.join(F.broadcast(stretches), "pattern")
     # starts of a text on the repeated tape, c, c + whole, ..., that fall into the stretch a .. a + x

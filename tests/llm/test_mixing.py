@@ -33,3 +33,11 @@ def test_mixture(spark):
     assert abs(share["big"] - 0.7) < 0.02 and abs(share["small"] - 0.3) < 0.02 and share["void"] == 0
     assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.mix_sources(documents.orderBy(F.rand(1)), targets).collect()))
     assert mixing.mix_sources(documents.limit(0), targets).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="no vocabulary file")
+def test_copies_within_a_source_are_documents(spark):
+    rows = [(i, "the same words again", "only") for i in range(5)] + [(9, "the same words again", "other"), (3, "the same words again", "only")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("only", 1.0, 2)], "source string, weight double, max_repeats int")
+    assert {(x.doc_id, x.uses) for x in mixing.mix_sources(documents, targets).collect()} == {(i, 2) for i in range(5)}
