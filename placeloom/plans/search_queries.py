@@ -126,7 +126,7 @@ def h12(spark, sf):
  i as (select rec_id, city, s, cast(nullif(regexp_extract(number, '^\\s*([0-9]{{1,9}})', 1), '') as integer) as n from {_KI} where city is not null)
  select i.rec_id, i.n as number, round(w.lon + (w.lon2 - w.lon) * (i.n - w.b) / (w.b2 - w.b), 5) as lon, round(w.lat + (w.lat2 - w.lat) * (i.n - w.b) / (w.b2 - w.b), 5) as lat from i join w on i.city = w.locality and i.s = w.s and i.n > w.b and i.n < w.b2""")
 def q18(spark, sf):
-    """Q18, Q19: a missing house number placed between its neighbours on the street."""
+    """Q18: a missing house number placed between its neighbours on the street."""
     w = build.Window.partitionBy("locality", "s").orderBy("b", "rec_id")
     k = build.numbered(spark, sf)
     spans = k.select("locality", "s", "b", "lon", "lat", *[F.lead(c).over(w).alias(c + "2") for c in ("b", "lon", "lat")]).filter("b2 > b + 1")
