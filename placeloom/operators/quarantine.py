@@ -110,6 +110,8 @@ class BulkParser:
         """Typed columns of a block in which every record is valid, else None."""
         if not pc.all(pc.match_substring_regex(records, self.whole)).as_py():
             return None
+        if pc.any(pc.ends_with(records, "\r")).as_py():
+            return None  # the reader would take the return as part of the line end
         body = "\n".join(records.to_pylist()).encode()
         if body[:3] == b"\xef\xbb\xbf":
             return None  # the reader would take these three bytes for a mark
