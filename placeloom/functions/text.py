@@ -6,31 +6,34 @@ All run inside the JVM. Null in, null out, unless stated; a text without any let
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Street-type abbreviations, street types, directions and ordinals of normalised English text.
-ABBREVIATIONS = (
-    "ave:avenue av:avenue blvd:boulevard cir:circle ct:court crt:court cres:crescent gdns:gardens grv:grove hts:heights dr:drive hwy:highway "
-    "ln:lane pkwy:parkway pl:place rd:road sq:square st:street ter:terrace terr:terrace trl:trail tr:trail wy:way"
-)
-STREET_TYPES = (
-    "avenue boulevard circle close court crescent crossing drive esplanade gardens gate grove heights highway hill lane line mews parkway "
-    "path place promenade quay ridge road row square street terrace trail walk way"
-).split()
-DIRECTIONS = "e:east n:north s:south w:west ne:northeast nw:northwest se:southeast sw:southwest"
-ORDINALS = (
-    "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth "
-    "seventeenth eighteenth nineteenth twentieth"
-).split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-LICENCE_RESTRICTED = r"(?i)creativecommons\.org/licen[cs]es/by(-nc)?-nd\b|\bcc[- ]by(-nc)?-nd\b|all rights reserved|shall (not )?(sell|give|reproduce)|without permission|prohibited"
-LICENCE_NON_COMMERCIAL = r"(?i)creativecommons\.org/licen[cs]es/by-nc\b|\bcc[- ]by[- ]nc\b|non-?commercial|not for commercial"
-
-
-def pairs(text: str) -> dict[str, str]:
-    return dict(p.split(":") for p in text.split())
+# Street-type abbreviations, street types, directions, ordinals and tens of normalised English text.
+ABBREVIATIONS = {
+    "ave": "avenue", "av": "avenue", "blvd": "boulevard", "cir": "circle", "ct": "court", "crt": "court", "cres": "crescent", "gdns": "gardens",
+    "grv": "grove", "hts": "heights", "dr": "drive", "hwy": "highway", "ln": "lane", "pkwy": "parkway", "pl": "place", "rd": "road", "sq": "square",
+    "st": "street", "ter": "terrace", "terr": "terrace", "trl": "trail", "tr": "trail", "wy": "way",
+}
+STREET_TYPES = [
+    "avenue", "boulevard", "circle", "close", "court", "crescent", "crossing", "drive", "esplanade", "gardens", "gate", "grove", "heights", "highway",
+    "hill", "lane", "line", "mews", "parkway", "path", "place", "promenade", "quay", "ridge", "road", "row", "square", "street", "terrace", "trail",
+    "walk", "way",
+]
+DIRECTIONS = {"e": "east", "n": "north", "s": "south", "w": "west", "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest"}
+ORDINALS = [
+    "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", "thirteenth", "fourteenth",
+    "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth",
+]
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+# How licences name their terms; the Creative Commons ones by their short names, with "cc" or in an address.
+CC_RESTRICTED = ["by nd", "by nc nd"]
+CC_NON_COMMERCIAL = ["by nc"]
+WORDS_RESTRICTED = ["all rights reserved", "without permission", "prohibited", "no derivatives"]
+WORDS_NON_COMMERCIAL = ["non commercial", "noncommercial", "not for commercial"]
 
 
 def latin_table() -> tuple[str, str, dict[str, str]]:
@@ -99,10 +102,10 @@ def _words(key: Column) -> Column:
 def expand_abbreviations(key: Column) -> Column:
     """T4 and T5, on a search key: street types and the directions behind them in full, ordinals before a type as numbers.
 
-    "king st w" is "king street west"; an initial "st" or one behind a number stays; "twenty first street" is "21st street".
+    "elm rd n" is "elm road north"; an initial "st" or one behind a number stays; "thirty second lane" is "32nd lane".
     """
     at = lambda a, i: F.get(a, i)
-    types, directions = pairs(ABBREVIATIONS), pairs(DIRECTIONS)
+    types, directions = ABBREVIATIONS, DIRECTIONS
     numbers = {w: str(i + 1) for i, w in enumerate(ORDINALS)} | {w[:-1] + "ieth": str(20 + 10 * i) for i, w in enumerate(TENS)}
     tens = {w: str(20 + 10 * i) for i, w in enumerate(TENS)}
 
@@ -134,7 +137,7 @@ def street_text(key: Column) -> Column:
     last = lambda ws: F.element_at(ws, -1)
     return let(
         _words(expand_abbreviations(key)),
-        lambda ws: F.concat_ws(" ", F.slice(ws, F.lit(1), F.size(ws) - 1), F.coalesce(lookup(pairs(DIRECTIONS), last(ws)), last(ws))),
+        lambda ws: F.concat_ws(" ", F.slice(ws, F.lit(1), F.size(ws) - 1), F.coalesce(lookup(DIRECTIONS, last(ws)), last(ws))),
     )
 
 
@@ -217,25 +220,40 @@ def last_nine_digits(phone: Column) -> Column:
     return F.when(F.length(digits) >= 9, F.right(digits, F.lit(9)))
 
 
-ROAD_CLASSES = "motorway trunk primary secondary tertiary unclassified residential living_street service pedestrian track busway cycleway footway path steps".split()
-PLACE_TIERS = (
-    "country:country state:region province:region region:region county:district district:district municipality:district city:locality town:locality "
-    "village:locality hamlet:locality locality:locality suburb:neighbourhood neighbourhood:neighbourhood quarter:neighbourhood borough:neighbourhood "
-    "island:place islet:place farm:place isolated_dwelling:place"
-)
+# Road classes from the most to the least important, and kinds of place with their tier.
+ROAD_CLASSES = [
+    "motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "living_street", "service", "pedestrian", "track", "busway",
+    "cycleway", "footway", "path", "steps",
+]
+ALSO_ROADS = {"bridleway": "footway"}
+PLACE_TIERS = {
+    "country": "country", "state": "region", "province": "region", "region": "region", "county": "district", "district": "district",
+    "municipality": "district", "city": "locality", "town": "locality", "village": "locality", "hamlet": "locality", "locality": "locality",
+    "suburb": "neighbourhood", "neighbourhood": "neighbourhood", "quarter": "neighbourhood", "borough": "neighbourhood", "island": "place",
+    "islet": "place", "farm": "place", "isolated_dwelling": "place",
+}
 
 
 def road_class(highway: Column) -> Column:
     """Rank of a road's class, links like their road; 16 for any other."""
-    plain = F.regexp_replace(highway, "_link$", "")
-    return F.coalesce(lookup({r: str(i) for i, r in enumerate(ROAD_CLASSES)}, plain).cast("int"), F.lit(16))
+    ranks = {r: str(i) for i, r in enumerate(ROAD_CLASSES)}
+    ranks |= {r: ranks[like] for r, like in ALSO_ROADS.items()}
+    return F.coalesce(lookup(ranks, F.regexp_replace(highway, "_link$", "")).cast("int"), F.lit(16))
 
 
 def place_tier(place: Column) -> Column:
     """Tier of a kind of place, else null."""
-    return lookup(pairs(PLACE_TIERS), F.lower(F.trim(place)))
+    return lookup(PLACE_TIERS, F.lower(F.trim(place)))
 
 
-def licence_terms(text: Column) -> Column:
-    """Restricted, non_commercial or permitted, by the words of a licence; null text is permitted."""
-    return F.when(text.rlike(LICENCE_RESTRICTED), "restricted").when(text.rlike(LICENCE_NON_COMMERCIAL), "non_commercial").otherwise("permitted")
+def licence_terms(text: Column, decided_text: Column | None = None, decided: Column | None = None) -> Column:
+    """Restricted, non_commercial or permitted, by the words of a licence; null text is permitted.
+
+    A decision taken by hand holds while the licence still reads as it did then.
+    """
+    words = F.concat(F.lit(" "), search_key(text), F.lit(" "))
+    says = lambda phrases: reduce(or_, [words.contains(f" {p} ") for p in phrases])
+    cc = lambda names: [f"{before} {n}" for n in names for before in ("cc", "licenses", "licences")]
+    restricted, limited = says(cc(CC_RESTRICTED) + WORDS_RESTRICTED), says(cc(CC_NON_COMMERCIAL) + WORDS_NON_COMMERCIAL)
+    ruled = F.when(restricted, "restricted").when(limited, "non_commercial").otherwise("permitted")
+    return ruled if decided is None else F.when(F.trim(decided_text) == F.trim(text), decided).otherwise(ruled)

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeloom.runtime import Scratch
+
 EARTH_M = 6_371_008.8
 _SHIFT = 1 << 24  # columns of a row at most: cells of 3 m and more
 
@@ -108,14 +110,14 @@ def near_points(
     """
     grid = Grid(max(3.0, radius_m * 0.70))
 
-    def once(df: DataFrame, key: str) -> DataFrame:
+    def usable(df: DataFrame, key: str) -> DataFrame:
         df = df.select(F.col(key).alias("_id"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"))
-        return df.filter(F.col("_id").isNotNull() & is_point(F.col("lon"), F.col("lat"))).distinct()
+        return df.filter(F.col("_id").isNotNull() & is_point(F.col("lon"), F.col("lat")))
 
-    cover = grid.circle(once(places, place_id), radius_m).select(
+    cover = grid.circle(usable(places, place_id).distinct(), radius_m).select(
         F.col("_id").alias("_b"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), "_cell", "_inside"
     )
-    probe = once(points, point_id).withColumn("_cell", grid.cell(F.col("lon"), F.col("lat")))
+    probe = usable(points, point_id).withColumn("_cell", grid.cell(F.col("lon"), F.col("lat"))).distinct()
     metres = distance_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
     pairs = probe.join(cover.hint("merge"), "_cell").filter(F.col("_inside") | (metres <= radius_m))
     if with_distance:
@@ -123,6 +125,72 @@ def near_points(
     return pairs.select(F.col("_id").alias(point_id), F.col("_b").alias(place_id))
 
 
+PIECE_M = 50.0
+PIECES = 64  # of a segment, about: longer ones are cut into longer pieces
+
+
+def near_shapes(points: DataFrame, layers: list[tuple[int, DataFrame]], radius_m: float, point_id: str) -> DataFrame:
+    """``(point_id, layer, shape_id, metres, t)``: the nearest shape of the first layer that has one within a radius.
+
+    Each layer is ``(number, shapes(shape_id, lon, lat, lon2, lat2))``; the lowest number comes first. Null ``lon2`` or ``lat2`` make a
+    shape a point, measured along the great circle; others are segments, straight in degrees, measured in a plane centred on the
+    point, ``t`` being the place along them. Metres are rounded to millimetres; ties go to the lower ``shape_id`` (a string).
+    Unusable points answer nothing; a segment with an unusable end is left out; repeated rows count once.
+
+    One join for all layers: a segment is cut into pieces of 50 m, eight times that for each level by which it has more than
+    64 of them, and each piece stands in the cells of its circle at its level. Points move once a level in use, six at most,
+    and the pairs carry all that is measured, so that neither side is looked up again.
+    """
+    lon, lat = F.col("lon"), F.col("lat")
+    frames = []
+    for number, shapes in layers:
+        cols = [F.col(c).cast("double").alias(c) for c in ("lon", "lat", "lon2", "lat2")]
+        one = shapes.select(F.lit(number).alias("layer"), F.col("shape_id").cast("string").alias("shape_id"), *cols)
+        frames.append(one.filter(is_point(lon, lat) & (F.col("lon2").isNull() | F.col("lat2").isNull() | is_point(F.col("lon2"), F.col("lat2")))))
+    shapes = frames[0]
+    for f in frames[1:]:
+        shapes = shapes.unionByName(f)
+    line = F.col("lon2").isNotNull() & F.col("lat2").isNotNull()
+    wrap = lambda d: d - 360 * F.round(d / 360)
+    degree = math.radians(1) * EARTH_M
+    most = F.when(line, F.hypot(wrap(F.col("lon2") - lon), F.col("lat2") - lat) * degree).otherwise(0.0)  # no shorter than the segment anywhere
+    level = F.when(most > PIECE_M * PIECES, F.ceil(F.log(most / (PIECE_M * PIECES)) / math.log(8.0) - 1e-9)).otherwise(0).cast("int")
+    cut = shapes.withColumn("_most", most).withColumn("_level", level)
+    cut = cut.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_most") / (PIECE_M * F.pow(F.lit(8.0), "_level"))).cast("int")))
+    mid = (F.explode(F.sequence(F.lit(1), F.col("_n"))) - 0.5) / F.col("_n")
+    cut = cut.withColumn("_mid", mid)
+    middle_lon = F.when(line, wrap(lon + wrap(F.col("lon2") - lon) * F.col("_mid"))).otherwise(lon)
+    middle_lat = F.when(line, lat + (F.col("lat2") - lat) * F.col("_mid")).otherwise(lat)
+    ends = F.struct("layer", "shape_id", lon.alias("lon"), lat.alias("lat"), "lon2", "lat2").alias("_s")
+    pieces = Scratch(points.sparkSession, "shapes").write(cut.select(ends, middle_lon.alias("lon"), middle_lat.alias("lat"), "_level"))
+    levels = sorted(r[0] for r in pieces.select("_level").distinct().collect())  # 0 .. 5: the earth is no larger
+    once = points.select(F.col(point_id).alias("_id"), lon.cast("double").alias("lon"), lat.cast("double").alias("lat"))
+    once = once.filter(F.col("_id").isNotNull() & is_point(lon, lat)).distinct()
+    covers, cells = [], []
+    for v in levels:
+        reach = radius_m + PIECE_M * 8**v / 2 + 1
+        grid = Grid(0.7 * reach)
+        covers.append(grid.circle(pieces.filter(F.col("_level") == v), reach).select("_s", (F.col("_cell") * 8 + v).alias("_cell")))
+        cells.append(grid.cell(lon, lat) * 8 + v)
+    if not levels:
+        covers, cells = [pieces.select("_s", F.lit(0).cast("long").alias("_cell"))], [F.lit(0).cast("long")]
+    cover = covers[0]
+    for c in covers[1:]:
+        cover = cover.unionByName(c)
+    met = once.withColumn("_cell", F.explode(F.array(*cells))).join(cover.distinct().hint("merge"), "_cell")
+    s = F.col("_s")
+    kx = F.cos(F.radians(lat)) * degree
+    ax, ay = wrap(s["lon"] - lon) * kx, (s["lat"] - lat) * degree
+    dx, dy = wrap(s["lon2"] - s["lon"]) * kx, (s["lat2"] - s["lat"]) * degree
+    long = dx * dx + dy * dy
+    t = F.when(long > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / long))).otherwise(0.0)
+    met = met.withColumn("_t", t)
+    metres = F.when(s["lon2"].isNull() | s["lat2"].isNull(), distance_m(lon, lat, s["lon"], s["lat"])).otherwise(F.hypot(ax + dx * F.col("_t"), ay + dy * F.col("_t")))
+    near = met.withColumn("_m", F.round(metres, 3)).filter(F.col("_m") <= radius_m)
+    best = near.groupBy("_id").agg(F.min(F.struct(s["layer"].alias("layer"), F.col("_m").alias("metres"), s["shape_id"].alias("shape_id"), F.col("_t").alias("t"))).alias("b"))
+    return best.select(F.col("_id").alias(point_id), "b.layer", "b.shape_id", "b.metres", "b.t")
+
+
 def _cover(rings: list, top: float, levels: int) -> Iterator[tuple[int, int, int, bool]]:
     """(level, row, column, inside) of plane cells ``top / 2**level`` degrees wide that cover a polygon."""
     edges = np.concatenate([np.column_stack([r[:-1], r[1:]]) for r in rings])

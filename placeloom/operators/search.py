@@ -87,12 +87,46 @@ def typo_expansion(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return met.select("word", F.col("term").alias("correction"), "n").distinct()
 
 
-def autocomplete(prefixes: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
-    """``(query_id, name, rank)``: names that begin with a query's key, commonest first.
+def autocomplete(typed: DataFrame, lines: DataFrame, k: int = 10) -> DataFrame:
+    """``(query_id, name, how, house, rank)``: Q12 and Q22, lines that what is typed may be the beginning of.
 
-    ``prefixes(query_id, prefix)``, ``names(name, n)``; prefixes of fewer than three characters answer nothing.
+    ``typed(query_id, key)``, ``lines(line, number)``, a row each address. The first word of a key that is a house number is
+    taken off; lines that hold that house come first (``house``), then common ones. ``how`` 1: the words stand in a line one after
+    the other, the last as a prefix; 2, only where no line does so: all but the last stand in it in any order, the last as a prefix.
+    Fewer than two characters without the number answer nothing. Keys are used whole, equal ones are answered once.
+
+    Lines meet the typed words over the word before the last and the last as a prefix, for lone words over the prefix, of which
+    only those asked for are kept; in any order over the rarest whole word.
     """
-    head = lambda c: F.substring(c, 1, 3)
-    asked = prefixes.filter("length(prefix) >= 3").withColumn("_h", head("prefix"))
-    met = asked.join(names.withColumn("_h", head("name")), "_h").filter("startswith(name, prefix)")
-    return lowest_per_group(met.select("query_id", "name", "n"), ["query_id"], [F.desc("n"), "name"], k).select("query_id", "name", "rank")
+    scratch = Scratch(typed.sparkSession, "autocomplete")
+    number = r"(^| )([0-9]{1,5}[a-z]?)( |$)"
+    first = F.nullif(F.regexp_extract("key", number, 2), F.lit(""))
+    cut = F.regexp_replace("key", rf"^(.*?){number}", "$1 ")  # the first house number alone
+    words = F.trim(F.regexp_replace(F.when(first.isNotNull(), cut).otherwise(F.col("key")), " +", " "))
+    asked = scratch.write(typed.filter("key is not null").select("query_id", first.alias("number"), words.alias("words")).filter("length(words) >= 2"))
+    houses = scratch.write(lines.filter("line is not null").groupBy("line", "number").agg(F.count(F.lit(1)).alias("n")))
+    known = scratch.write(houses.groupBy("line").agg(F.sum("n").alias("n")))
+    v = F.split("words", " ")
+    texts = asked.select("words").distinct().withColumn("last", F.element_at(v, -1)).withColumn("before", F.coalesce(F.get(v, F.size(v) - 2), F.lit("")))
+    texts = scratch.write(texts)
+    w = F.split("line", " ")
+    places = known.select("line", F.posexplode(w).alias("at", "word"), w.alias("w"))
+    starts = places.select("line", "word", F.when(F.col("at") > 0, F.get("w", F.col("at") - 1)).otherwise("").alias("ahead"), F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("last"))
+    # a word's prefixes stand both for themselves alone and behind the word before
+    heads = starts.select("line", "last", F.explode(F.array_distinct(F.array("ahead", F.lit("")))).alias("before")).distinct()
+    met = texts.join(heads, ["before", "last"]).filter(F.concat(F.lit(" "), "line").contains(F.concat(F.lit(" "), "words"))).select("words", "line").distinct()
+    met = scratch.write(met)
+    open_ = texts.join(met, "words", "left_anti").filter("before <> ''")
+    df = places.groupBy("word").agg(F.countDistinct("line").alias("df"))
+    wanted = open_.select("words", "last", F.array_distinct(F.slice(v, F.lit(1), F.size(v) - 1)).alias("whole"))
+    counted = wanted.select("words", "last", "whole", F.explode("whole").alias("word")).join(df, "word")
+    rarest = counted.groupBy("words", "last", "whole").agg(F.min(F.struct("df", "word")).alias("r"), F.count(F.lit(1)).alias("c")).filter(F.col("c") == F.size("whole"))
+    loose = rarest.select("words", "last", "whole", F.col("r.word").alias("word")).join(places.select("line", "word", "w").distinct(), "word")
+    loose = loose.filter((F.size(F.array_except("whole", "w")) == 0) & F.concat(F.lit(" "), "line").contains(F.concat(F.lit(" "), "last"))).select("words", "line").distinct()
+    both = met.withColumn("how", F.lit(1)).unionByName(loose.withColumn("how", F.lit(2))).join(known, "line")
+    forms = asked.select("number", "words").distinct().join(both, "words")
+    have = houses.filter("number is not null").select("line", "number", F.lit(1).alias("house"))
+    forms = forms.join(have, ["line", "number"], "left").fillna(0, ["house"])
+    best = lowest_per_group(forms.select("number", "words", "line", "how", "house", "n"), ["number", "words"], [F.desc("house"), F.desc("n"), "line"], k)
+    best = best.select(F.coalesce("number", F.lit("")).alias("number"), "words", F.col("line").alias("name"), "how", "house", "rank")
+    return asked.fillna("", ["number"]).join(best, ["number", "words"]).select("query_id", "name", "how", "house", "rank")

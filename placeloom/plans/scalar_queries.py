@@ -11,12 +11,14 @@ from placeloom.plans.catalogue import query
 from placeloom.runtime import table
 
 
-def imports(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "import_rows").distinct()
+def imports(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Rows of the address files, redelivered ones once, with the columns asked for: only those are read and shuffled."""
+    return table(spark, sf, "import_rows").select("rec_id", *columns).distinct()
 
 
-def addresses(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "osm_addresses").distinct()
+def addresses(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Features of the map, redelivered ones once, with the columns asked for: only those are read and shuffled."""
+    return table(spark, sf, "osm_addresses").select("rec_id", *columns).distinct()
 
 
 IMP = "(select distinct * from import_rows)"
@@ -36,10 +38,10 @@ def _map(table_: dict[str, str]) -> str:
 # ---- text
 
 
-def _street_query(name: str, column, sql_expr: str):
+def _street_query(name: str, column, sql_expr: str, *columns: str):
     @query(name, f"select rec_id, {sql_expr} as value from {IMP}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return imports(spark, sf).select("rec_id", column().alias("value"))
+        return imports(spark, sf, *(columns or ("street",))).select("rec_id", column().alias("value"))
 
     return run
 
@@ -49,14 +51,14 @@ _street_query("t2_exact_key", lambda: text.exact_key(F.col("street")), "lower(st
 _street_query("t3_collapse_whitespace", lambda: text.collapse_whitespace(F.col("street")), "nullif(trim(regexp_replace(street, '\\s+', ' ', 'g')), '')")
 _TYPES = "[" + ", ".join(f"'{t}'" for t in text.STREET_TYPES) + "]"
 _EXPAND = f"""(with w as (select rec_id, string_split(TEXT_, ' ') as w from SOURCE_),
-t as (select rec_id, w, list_transform(w, lambda x, i: case when x = 'st' and (i = 1 or regexp_full_match(w[i - 1], '[0-9]*')) then x else coalesce({_map(text.pairs(text.ABBREVIATIONS))}[x], x) end) as t from w)
-select rec_id, list_transform(t, lambda x, i: case when i > 1 and x = w[i] and list_contains({_TYPES}, t[i - 1]) then coalesce({_map(text.pairs(text.DIRECTIONS))}[x], x) else x end) as f from t)"""
+t as (select rec_id, w, list_transform(w, lambda x, i: case when x = 'st' and (i = 1 or regexp_full_match(w[i - 1], '[0-9]*')) then x else coalesce({_map(text.ABBREVIATIONS)}[x], x) end) as t from w)
+select rec_id, list_transform(t, lambda x, i: case when i > 1 and x = w[i] and list_contains({_TYPES}, t[i - 1]) then coalesce({_map(text.DIRECTIONS)}[x], x) else x end) as f from t)"""
 _FULL = _EXPAND.replace("TEXT_", key("street")).replace("SOURCE_", IMP)
 
 
 @query("t4_expand_abbreviations", f"select rec_id, array_to_string(f, ' ') as value from {_FULL}")
 def t4(spark, sf):
-    return imports(spark, sf).select("rec_id", text.expand_abbreviations(text.search_key(F.col("street"))).alias("value"))
+    return imports(spark, sf, "street").select("rec_id", text.expand_abbreviations(text.search_key(F.col("street"))).alias("value"))
 
 
 _ORD = ["first", "second", "third", "fifth", "eleventh", "twelfth", "thirtieth", "ninth"]
@@ -74,39 +76,39 @@ def t5(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", text.expand_abbreviations(written).alias("value"))
 
 
-@query("t6_street_text", f"select rec_id, array_to_string(list_append(f[1:len(f) - 1], coalesce({_map(text.pairs(text.DIRECTIONS))}[f[len(f)]], f[len(f)])), ' ') as value from {_FULL}")
+@query("t6_street_text", f"select rec_id, array_to_string(list_append(f[1:len(f) - 1], coalesce({_map(text.DIRECTIONS)}[f[len(f)]], f[len(f)])), ' ') as value from {_FULL}")
 def t6(spark, sf):
-    return imports(spark, sf).select("rec_id", text.street_text(text.search_key(F.col("street"))).alias("value"))
+    return imports(spark, sf, "street").select("rec_id", text.street_text(text.search_key(F.col("street"))).alias("value"))
 
 
 @query("t7_street_type_words", f"select word, cast(count(*) as bigint) as n, list_contains({_TYPES}, word) as is_type, regexp_full_match(word, '[0-9]*') as is_number from (select unnest(string_split({key('street')}, ' ')) as word from {IMP}) group by word")
 def t7(spark, sf):
-    words = imports(spark, sf).select(F.explode(F.split(text.search_key(F.col("street")), " ")).alias("word"))
+    words = imports(spark, sf, "street").select(F.explode(F.split(text.search_key(F.col("street")), " ")).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("is_type", text.is_street_type(F.col("word"))).withColumn("is_number", text.is_numeric(F.col("word")))
 
 
 @query("t8_number_terms", f"select distinct rec_id, {key('x')} as term from (select rec_id, unnest(string_split(concat(number, ';', rec_id % 7), ';')) as x from {IMP}) where {key('x')} is not null")
 def t8(spark, sf):
     listed = F.concat(F.col("number"), F.lit(";"), (F.col("rec_id") % 7).cast("string"))
-    return imports(spark, sf).select("rec_id", F.explode(text.number_terms(listed)).alias("term")).distinct()
+    return imports(spark, sf, "number").select("rec_id", F.explode(text.number_terms(listed)).alias("term")).distinct()
 
 
-_street_query("t9_base_number", lambda: text.base_number(F.col("number")), "cast(nullif(regexp_extract(number, '^\\s*([0-9]{1,9})', 1), '') as integer)")
+_street_query("t9_base_number", lambda: text.base_number(F.col("number")), "cast(nullif(regexp_extract(number, '^\\s*([0-9]{1,9})', 1), '') as integer)", "number")
 
 
 @query("t10_flat_number_term", f"select rec_id, case when not contains({key('unit')}, ' ') then concat_ws(' ', {key('unit')}, {key('number')}) end as value from {IMP}")
 def t10(spark, sf):
-    return imports(spark, sf).select("rec_id", text.flat_number_term(F.col("number"), F.col("unit")).alias("value"))
+    return imports(spark, sf, "number", "unit").select("rec_id", text.flat_number_term(F.col("number"), F.col("unit")).alias("value"))
 
 
 @query("t11_postcode_forms", f"select rec_id, replace({key('postcode')}, ' ', '') as compact, case when postcode is null then null when contains({key('postcode')}, ' ') then concat({key('postcode')}, '|', replace({key('postcode')}, ' ', '')) else {key('postcode')} end as forms from {IMP}")
 def t11(spark, sf):
     forms = F.when(F.col("postcode").isNotNull(), F.array_join(text.postcode_forms(F.col("postcode")), "|"))
-    return imports(spark, sf).select("rec_id", text.compact_postcode(F.col("postcode")).alias("compact"), forms.alias("forms"))
+    return imports(spark, sf, "postcode").select("rec_id", text.compact_postcode(F.col("postcode")).alias("compact"), forms.alias("forms"))
 
 
-_street_query("t12_clean_postcode", lambda: text.clean_postcode(F.col("postcode")), "case when regexp_matches(upper(nullif(trim(regexp_replace(postcode, '\\s+', ' ', 'g')), '')), '[A-Z0-9]') then upper(nullif(trim(regexp_replace(postcode, '\\s+', ' ', 'g')), '')) end")
-_street_query("t13_unique_words", lambda: text.unique_words(F.concat_ws(" ", "street", "city", "street")), f"array_to_string(list_filter(string_split({key("concat_ws(' ', street, city, street)")}, ' '), lambda x, i: list_position(string_split({key("concat_ws(' ', street, city, street)")}, ' '), x) = i), ' ')")
+_street_query("t12_clean_postcode", lambda: text.clean_postcode(F.col("postcode")), "case when regexp_matches(upper(nullif(trim(regexp_replace(postcode, '\\s+', ' ', 'g')), '')), '[A-Z0-9]') then upper(nullif(trim(regexp_replace(postcode, '\\s+', ' ', 'g')), '')) end", "postcode")
+_street_query("t13_unique_words", lambda: text.unique_words(F.concat_ws(" ", "street", "city", "street")), f"array_to_string(list_filter(string_split({key("concat_ws(' ', street, city, street)")}, ' '), lambda x, i: list_position(string_split({key("concat_ws(' ', street, city, street)")}, ' '), x) = i), ' ')", "street", "city")
 _street_query("t15_without_pasted_tags", lambda: text.without_pasted_tags(F.concat(F.col("street"), F.when(F.col("rec_id") % 2 == 0, F.lit("; addr:city=x y")).otherwise(F.lit("")))), "trim(street)")
 
 
@@ -125,23 +127,23 @@ def t18(spark, sf):
 
 @query("t19_labels", f"select rec_id, concat_ws(', ', concat_ws(' ', case when unit is not null then 'Unit ' || unit || ',' end, housenumber, street), locality, region, country) as label from {ADR}")
 def t19(spark, sf):
-    return addresses(spark, sf).select("rec_id", text.address_label(*[F.col(c) for c in ("housenumber", "street", "unit", "locality", "region", "country")]).alias("label"))
+    return addresses(spark, sf, "housenumber", "street", "unit", "locality", "region", "country").select("rec_id", text.address_label(*[F.col(c) for c in ("housenumber", "street", "unit", "locality", "region", "country")]).alias("label"))
 
 
 @query("t20_record_ids", f"select rec_id, 'osm:' || object_type || ':' || object_id as record_id from {ADR}")
 def t20(spark, sf):
-    return addresses(spark, sf).select("rec_id", text.record_id(F.col("object_type"), F.col("object_id")).alias("record_id"))
+    return addresses(spark, sf, "object_type", "object_id").select("rec_id", text.record_id(F.col("object_type"), F.col("object_id")).alias("record_id"))
 
 
 @query("t21_id_numbers", f"select rec_id, object_id as number from {ADR} union all select rec_id, null from {IMP}")
 def t21(spark, sf):
-    good = addresses(spark, sf).select("rec_id", text.id_number(text.record_id(F.col("object_type"), F.col("object_id"))).alias("number"))
-    return good.unionByName(imports(spark, sf).select("rec_id", text.id_number(F.concat(F.col("dataset"), F.lit(":row:1"))).alias("number")))
+    good = addresses(spark, sf, "object_type", "object_id").select("rec_id", text.id_number(text.record_id(F.col("object_type"), F.col("object_id"))).alias("number"))
+    return good.unionByName(imports(spark, sf, "dataset").select("rec_id", text.id_number(F.concat(F.col("dataset"), F.lit(":row:1"))).alias("number")))
 
 
 @query("t27_same_road", f"select a.rec_id as rec_id, cast(count(*) as bigint) as same from (select rec_id, array_to_string(f, ' ') as s from {_FULL}) a join (select rec_id, array_to_string(f, ' ') as s from {_FULL}) b on a.s = b.s group by a.rec_id")
 def t27(spark, sf):
-    roads = imports(spark, sf).select("rec_id", text.expand_abbreviations(text.search_key(F.col("street"))).alias("s"))
+    roads = imports(spark, sf, "street").select("rec_id", text.expand_abbreviations(text.search_key(F.col("street"))).alias("s"))
     sizes = roads.groupBy("s").agg(F.count(F.lit(1)).alias("same"))  # counted once a road, not once a pair
     return roads.join(sizes, "s").select("rec_id", "same")
 
@@ -149,10 +151,10 @@ def t27(spark, sf):
 @query("t29_postcode_country", f"select rec_id, case when regexp_full_match(replace({key('postcode')}, ' ', ''), '[a-z]{{2}}[0-9]{{2}}[a-z]{{2}}') then 'XA' when regexp_full_match(replace({key('postcode')}, ' ', ''), '[0-9]{{5}}') then 'XB|XC|XD' end as countries from {IMP}")
 def t29(spark, sf):
     compact = text.compact_postcode(F.col("postcode"))
-    return imports(spark, sf).select("rec_id", F.when(compact.rlike("^[a-z]{2}[0-9]{2}[a-z]{2}$"), "XA").when(compact.rlike("^[0-9]{5}$"), "XB|XC|XD").alias("countries"))
+    return imports(spark, sf, "postcode").select("rec_id", F.when(compact.rlike("^[a-z]{2}[0-9]{2}[a-z]{2}$"), "XA").when(compact.rlike("^[0-9]{5}$"), "XB|XC|XD").alias("countries"))
 
 
-_street_query("t31_placeholder_postcode", lambda: text.placeholder_postcode(F.when(F.col("rec_id") % 10 == 0, "00 000").otherwise(F.col("postcode"))), f"coalesce(case when rec_id % 10 = 0 then true else regexp_full_match(replace({key('postcode')}, ' ', ''), '0+') end, false)")
+_street_query("t31_placeholder_postcode", lambda: text.placeholder_postcode(F.when(F.col("rec_id") % 10 == 0, "00 000").otherwise(F.col("postcode"))), f"coalesce(case when rec_id % 10 = 0 then true else regexp_full_match(replace({key('postcode')}, ' ', ''), '0+') end, false)", "postcode")
 
 
 @query("t32_normal_urls", "select distinct id, lower(regexp_replace(regexp_replace(trim(osm_url), '^(https?://)?(www\\.)?', '', 'i'), '/+$', '')) as url from regions")
@@ -160,19 +162,41 @@ def t32(spark, sf):
     return table(spark, sf, "regions").select("id", text.normal_url(F.col("osm_url")).alias("url")).distinct()
 
 
-@query("t33_t34_classes", "select p_partkey, case p_partkey % 4 when 0 then 0 when 1 then 6 when 2 then 16 else 7 end as road_class, case p_partkey % 4 when 0 then 'region' when 1 then 'locality' when 2 then null else 'place' end as tier from part")
+_ROADS = [r + end for r in [*text.ROAD_CLASSES, *text.ALSO_ROADS, "proposed", ""] for end in ("", "_link")]
+_RANKS = ", ".join(f"('{r}', {i}), ('{r}_link', {i})" for i, r in enumerate(text.ROAD_CLASSES)) + ", ('bridleway', 13), ('bridleway_link', 13)"
+_PLACES = [*text.PLACE_TIERS, "galaxy"]
+_TIERS = ", ".join(f"('{p}', '{t}')" for p, t in text.PLACE_TIERS.items())
+_PICK = lambda values, key: "list_extract([" + ", ".join(f"'{v}'" for v in values) + f"], cast({key} % {len(values)} as integer) + 1)"
+
+
+@query(
+    "t33_t34_classes",
+    f"""select p_partkey, coalesce(r.rank, 16) as road_class, t.tier from (select p_partkey, {_PICK(_ROADS, 'p_partkey')} as road, {_PICK(_PLACES, 'p_partkey')} as place from part) p
+ left join (values {_RANKS}) r(road, rank) on r.road = p.road left join (values {_TIERS}) t(place, tier) on t.place = p.place""",
+)
 def t33(spark, sf):
-    k = F.col("p_partkey") % 4
-    road = F.when(k == 0, "motorway_link").when(k == 1, "residential").when(k == 2, "proposed").otherwise("living_street")
-    place = F.when(k == 0, "State").when(k == 1, " town ").when(k == 2, "galaxy").otherwise("islet")
-    return table(spark, sf, "part").select("p_partkey", text.road_class(road).alias("road_class"), text.place_tier(place).alias("tier"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+    place = F.concat(F.lit(" "), F.initcap(pick(_PLACES)))
+    return table(spark, sf, "part").select("p_partkey", text.road_class(pick(_ROADS)).alias("road_class"), text.place_tier(place).alias("tier"))
+
+
+_LICENCES = [
+    ("All Rights Reserved", "restricted"), ("CC-BY-NC 4.0", "non_commercial"), ("ODbL 1.0", "permitted"), ("https://creativecommons.org/licenses/by-nc-nd/4.0/", "restricted"),
+    ("https://creativecommons.org/licences/by/4.0/", "permitted"), ("For Non-Commercial use only", "non_commercial"), ("No reuse without permission.", "restricted"), ("Decided by hand", "permitted"),
+]
 
 
-@query("s9_licence_terms", "select p_partkey, case p_partkey % 4 when 0 then 'restricted' when 1 then 'non_commercial' else 'permitted' end as terms from part")
+@query(
+    "s9_licence_terms",
+    f"""select p_partkey, case when {_PICK([t for t, _ in _LICENCES], 'p_partkey')} = d.text then d.terms else {_PICK([t for _, t in _LICENCES], 'p_partkey')} end as terms
+ from part left join (values ('Brand#11', 'Decided by hand', 'restricted'), ('Brand#12', 'an older text', 'permitted')) d(brand, text, terms) on d.brand = p_brand""",
+)
 def s9(spark, sf):
-    k = F.col("p_partkey") % 4
-    licence = F.when(k == 0, "All Rights Reserved").when(k == 1, "CC BY-NC 4.0").when(k == 2, "ODbL 1.0")
-    return table(spark, sf, "part").select("p_partkey", text.licence_terms(licence).alias("terms"))
+    """Rules, and decisions taken by hand for a source while its licence reads as it did."""
+    licence = F.element_at(F.array(*[F.lit(t) for t, _ in _LICENCES]), (F.col("p_partkey") % len(_LICENCES) + 1).cast("int"))
+    decisions = spark.createDataFrame([("Brand#11", "Decided by hand", "restricted"), ("Brand#12", "an older text", "permitted")], "p_brand string, text string, decided string")
+    rows = table(spark, sf, "part").select("p_partkey", "p_brand", licence.alias("licence")).join(decisions, "p_brand", "left")
+    return rows.select("p_partkey", text.licence_terms(F.col("licence"), F.col("text"), F.col("decided")).alias("terms"))
 
 
 # ---- geometry
@@ -180,11 +204,14 @@ def s9(spark, sf):
 HAV = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians({d} - {b}) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({c} - {a}) / 2), 2))))"
 DEG = "(6371008.8 * pi() / 180)"
 OK_ = "abs(lon) <= 180 and abs(lat) <= 90 and not (lon = 0 and lat = 0)"
+_OVER = "case when lon < 0 then lon + 360 else lon end"
+_CROSS = f"min(lon) < 0 and max(lon) >= 0 and max({_OVER}) - min({_OVER}) < max(lon) - min(lon)"
+_EXTENT = f"case when {_CROSS} then min({_OVER}) else min(lon) end as w0, case when {_CROSS} then max({_OVER}) else max(lon) end as e0, case when {_CROSS} then avg({_OVER}) else avg(lon) end as mean"
 PT = f"(select distinct rec_id, lon, lat from osm_addresses where {OK_})"
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    return addresses(spark, sf).select("rec_id", "lon", "lat").filter(geo.is_point(F.col("lon"), F.col("lat"))).distinct()
+    return addresses(spark, sf, "lon", "lat").filter(geo.is_point(F.col("lon"), F.col("lat")))
 
 
 @query("g1_g2_distances", f"select rec_id, round({HAV.format(a='lon', b='lat', c='(lon + 0.01)', d='(lat * 0.999)')}, 2) as metres, round(sqrt(pow(0.01 * cos(radians((lat + lat * 0.999) / 2)), 2) + pow(lat * 0.999 - lat, 2)) * {DEG}, 2) as planar from {PT}")
@@ -260,10 +287,10 @@ def g20(spark, sf):
     return points(spark, sf).select("rec_id", *[F.round(v[c], 9).alias(c) for c in "xyz"])
 
 
-@query("g10_a15_extents", f"select p.locality, round(avg(lon), 5) as lon, round(avg(lat), 5) as lat, min(lon) as west, min(lat) as south, max(lon) as east, max(lat) as north, cast(count(*) as bigint) as n from (select distinct rec_id, locality, lon, lat from osm_addresses where {OK_}) p where locality is not null group by p.locality")
+@query("g10_a15_extents", f"select locality, round(mean - 360 * round(mean / 360), 5) as lon, round(lat, 5) as lat, w0 as west, south, e0 - 360 * round(e0 / 360) as east, north, n from (select p.locality, {_EXTENT}, avg(lat) as lat, min(lat) as south, max(lat) as north, cast(count(*) as bigint) as n from (select distinct rec_id, locality, lon, lat from osm_addresses where {OK_}) p where locality is not null group by p.locality)")
 def g10(spark, sf):
     """An area on the date line has its west greater than its east."""
-    rows = addresses(spark, sf).filter(geo.is_point(F.col("lon"), F.col("lat")) & F.col("locality").isNotNull()).select("rec_id", "locality", "lon", "lat").distinct()
+    rows = addresses(spark, sf, "locality", "lon", "lat").filter(geo.is_point(F.col("lon"), F.col("lat")) & F.col("locality").isNotNull())
     west, east, mean = geo.extent(F.col("lon"))
     return rows.groupBy("locality").agg(
         F.round(geo.wrap(mean), 5).alias("lon"), F.round(F.avg("lat"), 5).alias("lat"), west.alias("west"), F.min("lat").alias("south"), geo.wrap(east).alias("east"), F.max("lat").alias("north"), F.count(F.lit(1)).alias("n")
@@ -276,12 +303,13 @@ def g10(spark, sf):
 @query("s6_row_validation", f"""select rec_id, case when nullif(trim(regexp_replace(number, '\\s+', ' ', 'g')), '') is null then 'missing_number' when nullif(trim(regexp_replace(street, '\\s+', ' ', 'g')), '') is null then 'missing_street'
  when not coalesce({OK_}, false) then 'bad_coordinates' end as reason, nullif(trim(regexp_replace(coalesce(nullif(trim(city), ''), district), '\\s+', ' ', 'g')), '') as locality from {IMP}""")
 def s6(spark, sf):
-    return records.validate_imports(imports(spark, sf)).select("rec_id", "reason", "locality")
+    return records.validate_imports(imports(spark, sf, "number", "street", "city", "district", "lon", "lat")).select("rec_id", "reason", "locality")
 
 
-@query("k7_rejection_report", f"select reason, cast(count(*) as bigint) as n from (select case when not coalesce({OK_}, false) then 'bad_coordinates' end as reason from {IMP}) where reason is not null group by reason")
+@query("k7_rejection_report", f"""select reason, cast(count(*) as bigint) as n from (select case when nullif(trim(regexp_replace(number, '\\s+', ' ', 'g')), '') is null then 'missing_number' when nullif(trim(regexp_replace(street, '\\s+', ' ', 'g')), '') is null then 'missing_street'
+ when not coalesce({OK_}, false) then 'bad_coordinates' end as reason from {IMP}) where reason is not null group by reason""")
 def k7(spark, sf):
-    return records.validate_imports(imports(spark, sf)).filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return records.validate_imports(imports(spark, sf, "number", "street", "city", "district", "lon", "lat")).filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s8_sources_by_coverage", "with c as (select dataset, path, entry, area, row_number() over (partition by dataset order by path desc, entry desc nulls last) as n from address_files) select dataset, path, country, case when dataset like 'openaddresses:' || lower(country) || '/0%' then 1 else 2 end as rank from c join (values ('XA'), ('XC')) v(country) on c.dataset like 'openaddresses:' || lower(country) || '/%' where n = 1")
@@ -307,25 +335,32 @@ def s13(spark, sf):
 
 @query("f7_f8_filters", f"select rec_id from {ADR} where upper(country) in ('XA', 'XC') and {OK_} and lon between -70 and 30 and lat between -20 and 60")
 def f7(spark, sf):
-    return addresses(spark, sf).filter(F.upper("country").isin("XA", "XC") & geo.is_point(F.col("lon"), F.col("lat")) & F.col("lon").between(-70, 30) & F.col("lat").between(-20, 60)).select("rec_id")
+    return addresses(spark, sf, "country", "lon", "lat").filter(F.upper("country").isin("XA", "XC") & geo.is_point(F.col("lon"), F.col("lat")) & F.col("lon").between(-70, 30) & F.col("lat").between(-20, 60)).select("rec_id")
 
 
-@query("f11_query_bounds", "select query_id, case when q is null or trim(regexp_replace(q, '[\\s\\x{a0}]+', ' ', 'g')) = '' then 'missing' when length(trim(regexp_replace(q, '\\s+', ' ', 'g'))) > 40 then 'too_long' else 'ok' end as verdict from (select distinct query_id, q from queries)")
+@query("f11_query_bounds", "select query_id, case when q is null or trim(regexp_replace(q, '[\\s\\x{a0}]+', ' ', 'g')) = '' then 'missing' when length(trim(regexp_replace(q, '\\s+', ' ', 'g'))) > 256 then 'too_long' else 'ok' end as verdict from (select distinct query_id, q from queries)")
 def f11(spark, sf):
     q = text.collapse_whitespace(F.regexp_replace("q", " ", " "))
-    verdict = F.when(q.isNull(), "missing").when(F.length(text.collapse_whitespace(F.col("q"))) > 40, "too_long").otherwise("ok")
+    verdict = F.when(q.isNull(), "missing").when(F.length(text.collapse_whitespace(F.col("q"))) > 256, "too_long").otherwise("ok")
     return table(spark, sf, "queries").select("query_id", "q").distinct().select("query_id", verdict.alias("verdict"))
 
 
+@query("f11_coordinate_bounds", "select ping_id, case when lon is null or lat is null then 'missing' when isnan(lon) or isnan(lat) or abs(lon) > 180 or abs(lat) > 90 then 'out_of_range' else 'ok' end as verdict from (select distinct ping_id, lon, lat from pings)")
+def f11_points(spark, sf):
+    lon, lat = F.col("lon"), F.col("lat")
+    verdict = F.when(lon.isNull() | lat.isNull(), "missing").when(F.isnan(lon) | F.isnan(lat) | (F.abs(lon) > 180) | (F.abs(lat) > 90), "out_of_range").otherwise("ok")
+    return table(spark, sf, "pings").select("ping_id", "lon", "lat").distinct().select("ping_id", verdict.alias("verdict"))
+
+
 @query("f12_source_area", f"""with f as (select i.*, a.area from {IMP} i join (select distinct dataset, area from address_files where area is not null) a using (dataset)),
 b as (select country, min(lon) - 1 as w, max(lon) + 1 as e, min(lat) - 1 as s, max(lat) + 1 as n from (select distinct rec_id, country, lon, lat from osm_addresses where {OK_}) group by country),
 j as (select f.dataset, f.file_row, f.rec_id, coalesce(f.lon between b.w and b.e and f.lat between b.s and b.n, false) as inside from f join b on b.country = f.area),
 m as (select dataset, avg(case when inside then 1.0 else 0.0 end) as share from (select *, row_number() over (partition by dataset order by file_row, rec_id) as r from j) where r <= 1000 group by dataset)
 select j.rec_id, j.dataset from j join m using (dataset) where m.share >= 0.5 and j.inside""")
 def f12(spark, sf):
-    places = addresses(spark, sf).filter(geo.is_point(F.col("lon"), F.col("lat")))
+    places = addresses(spark, sf, "country", "lon", "lat").filter(geo.is_point(F.col("lon"), F.col("lat")))
     boxes = places.groupBy("country").agg((F.min("lon") - 1).alias("w"), (F.max("lon") + 1).alias("e"), (F.min("lat") - 1).alias("s"), (F.max("lat") + 1).alias("n"))
-    return records.within_stated_area(imports(spark, sf), table(spark, sf, "address_files"), boxes)
+    return records.within_stated_area(imports(spark, sf, "dataset", "file_row", "lon", "lat"), table(spark, sf, "address_files"), boxes)
 
 
 @query("f15_strictest_level", f"""with c as (select query_id, a.rec_id, case when a.postcode is not null and contains({_FOLD.format(c='q')}, lower(a.postcode)) then 3 when a.locality is not null and contains({_FOLD.format(c='q')}, {_FOLD.format(c='a.locality')}) then 2 else 1 end as level
@@ -336,7 +371,7 @@ def f15(spark, sf):
     first = text.search_key(F.split_part("q", F.lit(","), F.lit(1)))
     q = table(spark, sf, "queries").select("query_id", "q").filter("q is not null").distinct()
     q = q.withColumn("s", F.array_join(F.filter(F.split(first, " "), lambda w: ~w.rlike("^[0-9]+[a-z]?$")), " ")).withColumn("n", F.regexp_extract(first, "[0-9]+", 0)).filter("s <> ''")
-    a = addresses(spark, sf).select("rec_id", "housenumber", "postcode", "locality", text.search_key(F.col("street")).alias("s")).distinct().withColumn("n", F.regexp_extract(text.search_key(F.col("housenumber")), "^[0-9]+", 0))
+    a = addresses(spark, sf, "housenumber", "postcode", "locality", "street").withColumn("s", text.search_key(F.col("street"))).drop("street").withColumn("n", F.regexp_extract(text.search_key(F.col("housenumber")), "^[0-9]+", 0))
     said = text.latin(F.col("q"))
     level = F.when(F.coalesce(said.contains(F.lower("postcode")), F.lit(False)), 3).when(F.coalesce(said.contains(text.latin(F.col("locality"))), F.lit(False)), 2).otherwise(1)
     return records.strictest(q.join(a, ["s", "n"]).withColumn("level", level), "query_id", "level").select("query_id", "rec_id", "level")

@@ -47,7 +47,7 @@ def q9(spark, sf):
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts with plain Latin letters alone: the SQL's folding knows no others."""
+    """Texts of all queries that have one, redelivered ones once."""
     return table(spark, sf, "queries").select("query_id", "q").filter("q is not null").distinct()
 
 
@@ -65,7 +65,7 @@ def address_hits(spark: SparkSession, sf: str) -> DataFrame:
     Never another house: number and street must be the same. Level 3 postcode, 2 locality, 1 nothing stated.
     """
     p = plan(_asked(spark, sf)).filter("number is not null and street is not null")
-    a = keyed(spark, sf).select("rec_id", F.col("n").alias("number"), F.col("s").alias("street"), text.search_key(F.col("locality")).alias("loc"), text.compact_postcode(F.col("postcode")).alias("code")).distinct()
+    a = keyed(spark, sf, "s", "n", "locality", "postcode").select("rec_id", F.col("n").alias("number"), F.col("s").alias("street"), text.search_key(F.col("locality")).alias("loc"), text.compact_postcode(F.col("postcode")).alias("code"))
     level = (
         F.when(F.coalesce(F.replace("context", F.lit(" "), F.lit("")).contains(F.col("code")), F.lit(False)), 3)
         .when(F.coalesce(F.col("context").contains(F.col("loc")), F.lit(False)), 2)
@@ -86,7 +86,7 @@ _SAID = f"(select query_id, {key('x')} as part from (select query_id, unnest(str
 
 def fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Q21: the finest area that a part of the query names, postcode before locality before region."""
-    a = addresses(spark, sf)
+    a = addresses(spark, sf, "postcode", "locality", "region")
     named = lambda c, t: a.select(c.alias("name"), F.lit(t).alias("tier")).filter("name is not null").distinct()
     areas = named(text.compact_postcode(F.col("postcode")), 1).unionByName(named(text.search_key(F.col("locality")), 2)).unionByName(named(text.search_key(F.col("region")), 3))
     said = _asked(spark, sf).select("query_id", F.explode(F.split("q", r"[,;]| - ")).alias("x")).select("query_id", text.search_key(F.col("x")).alias("part"))
@@ -115,8 +115,8 @@ def q14(spark, sf):
  select i.row_id, coalesce(a.hit, b.hit) as rec_id, case when a.hit is not null then 1 when b.hit is not null then 2 end as from_group from i left join a on a.row_id = i.row_id left join b on b.row_id = i.row_id""")
 def h12(spark, sf):
     """The first field group with an answer wins."""
-    k = keyed(spark, sf).select("s", "n", text.compact_postcode(F.col("postcode")).alias("code"), text.search_key(F.col("locality")).alias("loc"), F.col("rec_id").alias("hit"))
-    i = keyed_imports(spark, sf).select(F.col("rec_id").alias("row_id"), "s", "n", text.compact_postcode(F.col("postcode")).alias("code"), text.search_key(F.col("city")).alias("loc"))
+    k = keyed(spark, sf, "s", "n", "postcode", "locality").select("s", "n", text.compact_postcode(F.col("postcode")).alias("code"), text.search_key(F.col("locality")).alias("loc"), F.col("rec_id").alias("hit"))
+    i = keyed_imports(spark, sf, "s", "n", "postcode", "city").select(F.col("rec_id").alias("row_id"), "s", "n", text.compact_postcode(F.col("postcode")).alias("code"), text.search_key(F.col("city")).alias("loc"))
     by = lambda c, name: i.join(k.groupBy("s", "n", c).agg(F.min("hit").alias("hit")), ["s", "n", c]).groupBy("row_id").agg(F.min("hit").alias(name))
     both = i.select("row_id").join(by("code", "a"), "row_id", "left").join(by("loc", "b"), "row_id", "left")
     return both.select("row_id", F.coalesce("a", "b").alias("rec_id"), F.when(F.col("a").isNotNull(), 1).when(F.col("b").isNotNull(), 2).alias("from_group"))
@@ -130,7 +130,7 @@ def q18(spark, sf):
     w = build.Window.partitionBy("locality", "s").orderBy("b", "rec_id")
     k = build.numbered(spark, sf)
     spans = k.select("locality", "s", "b", "lon", "lat", *[F.lead(c).over(w).alias(c + "2") for c in ("b", "lon", "lat")]).filter("b2 > b + 1")
-    i = keyed_imports(spark, sf).select("rec_id", F.col("city").alias("locality"), "s", text.base_number(F.col("number")).alias("m"))
+    i = keyed_imports(spark, sf, "s", "city", "number").select("rec_id", F.col("city").alias("locality"), "s", text.base_number(F.col("number")).alias("m"))
     met = i.join(spans, ["locality", "s"]).filter("m > b and m < b2")
     part = (F.col("m") - F.col("b")) / (F.col("b2") - F.col("b"))
     return met.select("rec_id", F.col("m").alias("number"), *[F.round(F.col(c) + (F.col(c + "2") - F.col(c)) * part, 5).alias(c) for c in ("lon", "lat")])
@@ -144,29 +144,39 @@ _TERMS = f"(select rec_id as doc, term, count(*) as tf from (select rec_id, unne
 
 @query("q11_bm25", f"""with ix as (select * from {_TERMS}), n as (select count(distinct doc) as n from ix), d as (select term, count(*) as df from ix group by term),
  a as (select distinct query_id, unnest(string_split({key('q')}, ' ')) as term from {_QS}), ad as (select a.query_id, a.term, d.df from a join d on d.term = a.term),
- r as (select query_id, arg_min(term, (df, term)) as term from ad group by query_id), c as (select r.query_id, ix.doc from r join ix on ix.term = r.term),
- s as (select c.query_id, c.doc, round(sum(ln(1 + (n.n - ad.df + 0.5) / (ad.df + 0.5)) * ix.tf * 2.2 / (ix.tf + 1.2)), 6) as score from c join ad on ad.query_id = c.query_id join ix on ix.doc = c.doc and ix.term = ad.term cross join n group by 1, 2)
+ s as (select ad.query_id, ix.doc, round(sum(ln(1 + (n.n - ad.df + 0.5) / (ad.df + 0.5)) * ix.tf * 2.2 / (ix.tf + 1.2)), 6) as score from ad join ix on ix.term = ad.term cross join n group by 1, 2)
  select query_id, doc, score, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by score desc, doc) as rank from s) where rank <= 5""")
 def q11(spark, sf):
-    ix = search.index_terms(addresses(spark, sf), "rec_id", text.search_key(F.concat_ws(" ", "housenumber", "street", "locality", "postcode")))
+    ix = search.index_terms(addresses(spark, sf, "housenumber", "street", "locality", "postcode"), "rec_id", text.search_key(F.concat_ws(" ", "housenumber", "street", "locality", "postcode")))
     return search.bm25_top(ix, _asked(spark, sf), "query_id", text.search_key(F.col("q")))
 
 
 _VOC = f"(select term, cast(count(*) as bigint) as n from (select unnest(string_split({key('street')}, ' ')) as term from {ADR}) group by term)"
 
 
-@query("q13_typo_expansion", f"with w as (select distinct unnest(string_split({key('street')}, ' ')) as word from {build.IMP}), v as (select * from {_VOC}) select w.word, v.term as correction, v.n from w join v on left(w.word, 1) = left(v.term, 1) and levenshtein(w.word, v.term) <= 1 where length(word) >= 4 and not regexp_matches(word, '[0-9]') and not regexp_matches(term, '[0-9]') and length(term) >= 3 and word not in (select term from v)")
+@query("q13_typo_expansion", f"with w as (select distinct unnest(string_split({key('street')}, ' ')) as word from {build.IMP}), v as (select * from {_VOC}) select w.word, v.term as correction, v.n from w left join v o on o.term = w.word join v on left(w.word, 1) = left(v.term, 1) and levenshtein(w.word, v.term) <= case when length(w.word) >= 7 then 2 else 1 end where length(word) >= 4 and not regexp_matches(word, '[0-9]') and not regexp_matches(v.term, '[0-9]') and length(v.term) >= 3 and word <> v.term and v.n > coalesce(o.n, 0)")
 def q13(spark, sf):
-    words = keyed_imports(spark, sf).select(F.explode(F.split("s", " ")).alias("word"))
-    vocabulary = keyed(spark, sf).select(F.explode(F.split("s", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    words = keyed_imports(spark, sf, "s").select(F.explode(F.split("s", " ")).alias("word"))
+    vocabulary = keyed(spark, sf, "s").select(F.explode(F.split("s", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return search.typo_expansion(words, vocabulary)
 
 
-@query("q12_q22_autocomplete", f"with p as (select query_id, left({key('q')}, 6) as prefix from {_QS}), m as (select s as name, cast(count(*) as bigint) as n from {_K} where s is not null group by s) select query_id, name, cast(rank as integer) as rank from (select query_id, name, row_number() over (partition by query_id order by n desc, name) as rank from p join m on starts_with(m.name, p.prefix) where length(prefix) >= 3) where rank <= 10")
+_TYPED = f"""(select query_id, nullif(regexp_extract(k, '(^| )([0-9]{{1,5}}[a-z]?)( |$)', 2), '') as number, trim(regexp_replace(regexp_replace(k, '(^| )[0-9]{{1,5}}[a-z]?( |$)', ' '), ' +', ' ', 'g')) as words from (select query_id, {key('q')} as k from {_QS}) where k is not null)"""
+_LINES = f"(select nullif(concat_ws(' ', s, {key('locality')}, {key('postcode')}), '') as line, n from {_K})"
+
+
+@query("q12_q22_autocomplete", f"""with t as (select distinct number, words from {_TYPED} where length(words) >= 2), l as (select line, cast(count(*) as bigint) as n, string_split(line, ' ') as w from {_LINES} where line is not null group by line),
+ h as (select distinct line, n as number from {_LINES} where line is not null and n is not null),
+ p as (select t.words, l.line, l.n, 1 as how from (select distinct words from t) t join l on contains(' ' || l.line, ' ' || t.words)),
+ x as (select t.words, l.line, l.n, 2 as how from (select distinct words, string_split(words, ' ') as v from t where words not in (select words from p)) t join l on list_has_all(l.w, v[1:len(v) - 1]) and contains(' ' || l.line, ' ' || v[-1])),
+ m as (select t.number, t.words, y.line, y.n, y.how, case when h.line is null then 0 else 1 end as house from t join (select * from p union all select * from x) y on y.words = t.words left join h on h.line = y.line and h.number = t.number),
+ r as (select *, row_number() over (partition by number, words order by house desc, n desc, line) as rank from m)
+ select q.query_id, r.line as name, r.how, r.house, cast(r.rank as integer) as rank from {_TYPED} q join r on r.words = q.words and r.number is not distinct from q.number where r.rank <= 10""")
 def q22(spark, sf):
-    prefixes = _asked(spark, sf).select("query_id", F.substring(text.search_key(F.col("q")), 1, 6).alias("prefix"))
-    names = keyed(spark, sf).filter("s is not null").groupBy(F.col("s").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return search.autocomplete(prefixes, names)
+    k = keyed(spark, sf, "s", "n", "locality", "postcode")
+    lines = k.select(F.nullif(F.concat_ws(" ", "s", text.search_key(F.col("locality")), text.search_key(F.col("postcode"))), F.lit("")).alias("line"), F.col("n").alias("number"))
+    typed = _asked(spark, sf).select("query_id", text.search_key(F.col("q")).alias("key"))
+    return search.autocomplete(typed, lines.filter("line is not null"))
 
 
 _CATS = {"bakery": "shop:bakery", "library": "amenity:library", "pharmacy": "amenity:pharmacy", "bus stop": "highway:bus_stop", "town hall": "amenity:townhall"}
@@ -182,80 +192,113 @@ def q23(spark, sf):
 @query("q30_accuracy", f"select rec_id, case when accuracy = 'point' then 'rooftop' when accuracy in ('interpolated', 'estimated') then 'interpolated' when object_type = 'node' then 'rooftop' when object_type in ('way', 'relation') then 'centroid' else 'approximate' end as tier from {ADR}")
 def q30(spark, sf):
     tier = F.when(F.col("accuracy") == "point", "rooftop").when(F.col("accuracy").isin("interpolated", "estimated"), "interpolated").when(F.col("object_type") == "node", "rooftop").when(F.col("object_type").isin("way", "relation"), "centroid").otherwise("approximate")
-    return addresses(spark, sf).select("rec_id", tier.alias("tier"))
+    return addresses(spark, sf, "accuracy", "object_type").select("rec_id", tier.alias("tier"))
 
 
 # ---- reverse
 
 
-_SEGS = "(select * from (select rec_id, s, lon, lat, lead(lon) over w as lon2, lead(lat) over w as lat2 from " + _WK + " window w as (partition by locality, s order by b, rec_id)) where lon2 is not null and " + build.HAV.format(a="lon", b="lat", c="lon2", d="lat2") + " between 0.1 and 500)"
-_NEARSEG = f"""(select ping_id, arg_min(rec_id, (metres, rec_id)) as rec_id, min(metres) as metres from (select ping_id, rec_id, round(sqrt(pow(ax + dx * t, 2) + pow(ay + dy * t, 2)), 2) as metres from (select *, greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) as t from (
- select p.ping_id, g.rec_id, ((g.lon - p.lon) - 360 * round((g.lon - p.lon) / 360)) * cos(radians(p.lat)) * {DEG} as ax, (g.lat - p.lat) * {DEG} as ay, ((g.lon2 - g.lon) - 360 * round((g.lon2 - g.lon) / 360)) * cos(radians(p.lat)) * {DEG} as dx, (g.lat2 - g.lat) * {DEG} as dy from {_PINGS} p join {_SEGS} g on p.lat between least(g.lat, g.lat2) - 0.0004 and greatest(g.lat, g.lat2) + 0.0004 and abs((p.lon - g.lon) - 360 * round((p.lon - g.lon) / 360)) < 0.05))) where metres <= 30 group by ping_id)"""
+_STRETCH = "(select rec_id, s, lon, lat, lon2, lat2, b, b2, b2 > b and (b2 - b) % 2 = 0 as ranged from (select rec_id, s, lon, lat, b, lead(b) over w as b2, lead(lon) over w as lon2, lead(lat) over w as lat2 from " + _WK + " window w as (partition by locality, s order by b, rec_id)) where lon2 is not null)"
+_WRAP = lambda d: f"({d} - 360 * round(({d}) / 360))"
+_MEASURED = f"""(select *, round(sqrt(pow(ax + dx * t, 2) + pow(ay + dy * t, 2)), 3) as metres from (select *, case when dx * dx + dy * dy > 0 then greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) else 0.0 end as t from (
+ select p.ping_id, g.rec_id, g.b, g.b2, g.ranged, {_WRAP('g.lon - p.lon')} * cos(radians(p.lat)) * {DEG} as ax, (g.lat - p.lat) * {DEG} as ay, {_WRAP('g.lon2 - g.lon')} * cos(radians(p.lat)) * {DEG} as dx, (g.lat2 - g.lat) * {DEG} as dy
+ from {_PINGS} p join {_STRETCH} g on p.lat between least(g.lat, g.lat2) - 0.0004 and greatest(g.lat, g.lat2) + 0.0004 and (abs({_WRAP('p.lon - g.lon')}) <= abs({_WRAP('g.lon2 - g.lon')}) + 0.05 or abs(p.lat) > 85))) where metres <= 30)"""
 
 
-def near_segments(points: DataFrame, segments: DataFrame, radius_m: float, piece_m: float = 50.0) -> DataFrame:
-    """``(ping_id, rec_id, metres)`` of the nearest segment within a radius; ties by id.
-
-    Segments are cut into pieces of at most ``piece_m``; points meet the middles of pieces on the grid, then the whole
-    segment is measured in a plane centred on the point.
-    """
-    length = geo.distance_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    n = F.ceil(length / piece_m).cast("int")
-    pieces = segments.withColumn("_n", F.greatest(n, F.lit(1))).withColumn("_i", F.explode(F.sequence(F.lit(1), "_n")))
-    mid = (F.col("_i") - 0.5) / F.col("_n")
-    middles = pieces.select(F.struct("rec_id", "_i").alias("piece"), geo.wrap(F.col("lon") + geo.wrap(F.col("lon2") - F.col("lon")) * mid).alias("lon"), (F.col("lat") + (F.col("lat2") - F.col("lat")) * mid).alias("lat"))
-    met = proximity.near_points(points, middles, radius_m + piece_m / 2 + 1, "ping_id", "piece").select("ping_id", F.col("piece.rec_id").alias("rec_id")).distinct()
-    at = points.select("ping_id", F.col("lon").alias("plon"), F.col("lat").alias("plat")).distinct()
-    foot = geo.project_to_segment(F.col("plon"), F.col("plat"), F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    far = met.join(segments, "rec_id").join(at, "ping_id").select("ping_id", "rec_id", F.round(foot["metres"], 2).alias("metres")).filter(F.col("metres") <= radius_m)
-    return far.groupBy("ping_id").agg(F.min(F.struct("metres", "rec_id")).alias("b")).select("ping_id", "b.rec_id", "b.metres")
-
-
-def street_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Stretches between neighbouring house numbers of a street."""
+def stretches(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches between neighbouring house numbers of a street, however long; ``ranged`` where numbers of one side lie between."""
     w = build.Window.partitionBy("locality", "s").orderBy("b", "rec_id")
-    k = build.numbered(spark, sf).select("rec_id", "s", "lon", "lat", F.lead("lon").over(w).alias("lon2"), F.lead("lat").over(w).alias("lat2"))
-    return k.filter(F.col("lon2").isNotNull() & geo.distance_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")).between(0.1, 500))
+    ahead = [F.lead(c).over(w).alias(c + "2") for c in ("b", "lon", "lat")]
+    k = build.numbered(spark, sf).select("rec_id", "b", "lon", "lat", *ahead).filter("lon2 is not null")
+    return k.withColumn("ranged", F.expr("b2 > b and (b2 - b) % 2 = 0"))
 
 
-@query("j11_nearest_segment", f"select ping_id, rec_id, metres from {_NEARSEG}")
+@query("j11_nearest_segment", f"select ping_id, cast(arg_min(rec_id, (metres, cast(rec_id as varchar))) as varchar) as rec_id, round(min(metres), 2) as metres from {_MEASURED} group by ping_id")
 def j11(spark, sf):
-    return near_segments(table(spark, sf, "pings"), street_segments(spark, sf), 30.0)
+    shapes = stretches(spark, sf).withColumnRenamed("rec_id", "shape_id")
+    near = proximity.near_shapes(table(spark, sf, "pings"), [(0, shapes)], 30.0, "ping_id")
+    return near.select("ping_id", F.col("shape_id").alias("rec_id"), F.round("metres", 2).alias("metres"))
 
 
 _NEARLOC = f"(select ping_id, arg_min(locality, (d, locality)) as locality from (select a.ping_id, b.locality, round({DIST}, 3) as d from {_PINGS} a join {_LOC} b on abs(a.lat - b.lat) < 0.5) where d <= 50000 group by ping_id)"
+_NEARCODE = f"(select ping_id, arg_min(code, (d, code)) as code from (select a.ping_id, b.code, round({DIST}, 3) as d from {_PINGS} a join {build._CENT} b on abs(a.lat - b.lat) < 0.1) where d <= 10000 group by ping_id)"
+_NUMBER = "cast(cast(greatest(b, least(b2, b + cast(round((b2 - b) * t / 2) as bigint) * 2)) as bigint) as varchar)"
+_LADDER = {
+    "address": f"(select ping_id, cast(arg_min(rec_id, (d, cast(rec_id as varchar))) as varchar) as answer from (select a.ping_id, b.rec_id, round({DIST}, 3) as d from {_PINGS} a join (select distinct rec_id, lon, lat from osm_addresses where {OK_}) b on abs(a.lat - b.lat) < 0.0004) where d <= 30 group by ping_id)",
+    "interpolation": f"(select ping_id, arg_min(rec_id || ':' || {_NUMBER}, (metres, cast(rec_id as varchar))) as answer from {_MEASURED} where ranged group by ping_id)",
+    "street": f"(select ping_id, cast(arg_min(rec_id, (metres, cast(rec_id as varchar))) as varchar) as answer from {_MEASURED} group by ping_id)",
+    "postcode": f"(select ping_id, code as answer from {_NEARCODE})",
+    "locality": f"(select ping_id, locality as answer from {_NEARLOC})",
+}
 
 
-@query("q26_reverse_ladder", f"""with a as ({SQL['j9_nearest_address']}), g as (select * from {_NEARSEG}), l as (select * from {_NEARLOC})
- select p.ping_id, case when a.ping_id is not null then 'address' when g.ping_id is not null then 'street' when l.ping_id is not null then 'area' else 'none' end as layer,
- case when a.ping_id is not null then cast(a.rec_id as varchar) when g.ping_id is not null then cast(g.rec_id as varchar) when l.ping_id is not null then l.locality end as answer
- from (select distinct ping_id from {_PINGS}) p left join a on a.ping_id = p.ping_id left join g on g.ping_id = p.ping_id left join l on l.ping_id = p.ping_id""")
+def _ladder_sql(layers: list[str]) -> str:
+    steps = " ".join(f"left join {_LADDER[x]} {x} on {x}.ping_id = p.ping_id" for x in layers)
+    layer = " ".join(f"when {x}.ping_id is not null then '{x}'" for x in layers)
+    return f"select p.ping_id, case {layer} else 'none' end as layer, coalesce({', '.join(x + '.answer' for x in layers)}) as answer from (select distinct ping_id from {_PINGS}) p {steps}"
+
+
+@query("q26_reverse_ladder", _ladder_sql(list(_LADDER)))
 def q26(spark, sf):
     return reverse_ladder(spark, sf, table(spark, sf, "pings"))
 
 
-def reverse_ladder(spark: SparkSession, sf: str, pings: DataFrame) -> DataFrame:
-    """Q26: the first of address, street and area that is near enough; later steps see only what is still open.
+@query("q27_reverse_layer", _ladder_sql(["postcode"]))
+def q27(spark, sf):
+    """Only the layer asked for answers."""
+    return reverse_ladder(spark, sf, table(spark, sf, "pings"), "postcode")
+
+
+def reverse_ladder(spark: SparkSession, sf: str, pings: DataFrame, layer: str | None = None) -> DataFrame:
+    """Q26, Q27: ``(ping_id, layer, answer)``, the first of address, interpolated number, street (30 m each), postcode (10 km) and locality (50 km).
 
-    What each step answers is written down, so that no step runs again for the next.
+    ``layer`` names the only one to answer; another name is an error that lists them. The three near layers share one
+    join; the area steps see only points still open, written down once.
     """
+    if layer not in (None, *_LADDER):
+        raise ValueError(f"layer {layer!r}: one of {', '.join(_LADDER)}")
     scratch = Scratch(spark, "reverse")
-    points = scratch.write(pings.select("ping_id", "lon", "lat").filter(geo.is_point(F.col("lon"), F.col("lat"))).distinct())
-    a = relational.nearest(points, addresses(spark, sf), 30.0, "ping_id", "rec_id").select("ping_id", F.lit("address").alias("layer"), F.col("rec_id").cast("string").alias("answer"))
-    a = scratch.write(a)
-    open_ = points.join(a, "ping_id", "left_anti")
-    g = near_segments(open_, street_segments(spark, sf), 30.0).select("ping_id", F.lit("street").alias("layer"), F.col("rec_id").cast("string").alias("answer"))
-    g = scratch.write(g)
-    open_ = scratch.write(open_.join(g, "ping_id", "left_anti"))
-    near = relational.nearest(open_, build.locality_points(spark, sf), 50_000.0, "ping_id", "locality").select("ping_id", F.lit("area").alias("layer"), F.col("locality").alias("answer"))
-    near = scratch.write(near)
-    none = open_.join(near, "ping_id", "left_anti").select("ping_id", F.lit("none").alias("layer"), F.lit(None).cast("string").alias("answer")).distinct()
-    return a.unionByName(g).unionByName(near).unionByName(none)
+    points = pings.select("ping_id", "lon", "lat").filter(geo.is_point(F.col("lon"), F.col("lat"))).distinct()
+    near, areas = [x for x in ("address", "interpolation", "street") if layer in (None, x)], [x for x in ("postcode", "locality") if layer in (None, x)]
+    parts, open_ = [], points
+    if near:
+        nothing = F.lit(None).cast("double")
+        shapes = []
+        if "address" in near:
+            shapes.append((0, table(spark, sf, "osm_addresses").select(F.col("rec_id").cast("string").alias("shape_id"), "lon", "lat", nothing.alias("lon2"), nothing.alias("lat2")).distinct()))
+        if len(near) > 1 or near != ["address"]:
+            lines = scratch.write(stretches(spark, sf))
+            ends = ["lon", "lat", "lon2", "lat2"]
+            if "interpolation" in near:
+                # the numbers ride in the id, behind what ties are settled by
+                shapes.append((1, lines.filter("ranged").select(F.concat_ws(":", "rec_id", "b", "b2").alias("shape_id"), *ends)))
+            if "street" in near:
+                shapes.append((2, lines.select(F.col("rec_id").cast("string").alias("shape_id"), *ends)))
+        best = proximity.near_shapes(points, shapes, 30.0, "ping_id")
+        part = F.split("shape_id", ":")
+        low, high = F.get(part, F.lit(1)).cast("long"), F.get(part, F.lit(2)).cast("long")
+        number = geo.number_at(low, high, F.lit(2).cast("long"), F.col("t"))
+        answer = F.when(F.col("layer") == 1, F.concat_ws(":", F.get(part, F.lit(0)), number.cast("string"))).otherwise(F.col("shape_id"))
+        name = F.element_at(F.array(*map(F.lit, ("address", "interpolation", "street"))), F.col("layer") + 1)
+        found = scratch.write(best.select("ping_id", name.alias("layer"), answer.alias("answer")))
+        parts.append(found)
+        open_ = scratch.write(points.join(found, "ping_id", "left_anti"))
+    for area, places, reach, key in (("postcode", build.centroids, 10_000.0, "code"), ("locality", build.locality_points, 50_000.0, "locality")):
+        if area in areas:
+            got = relational.nearest(open_, places(spark, sf), reach, "ping_id", key).select("ping_id", F.lit(area).alias("layer"), F.col(key).alias("answer"))
+            got = scratch.write(got)
+            parts.append(got)
+            open_ = open_.join(got, "ping_id", "left_anti")
+    parts.append(open_.select("ping_id", F.lit("none").alias("layer"), F.lit(None).cast("string").alias("answer")).distinct())
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("k6_geojson_features")
 def k6(spark, sf):
-    a = addresses(spark, sf).filter(geo.is_point(F.col("lon"), F.col("lat")))
+    a = addresses(spark, sf, "id", "housenumber", "street", "unit", "locality", "region", "country", "postcode", "lon", "lat").filter(geo.is_point(F.col("lon"), F.col("lat")))
     label = text.address_label(*[F.col(c) for c in ("housenumber", "street", "unit", "locality", "region", "country")])
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(F.col("id"), label.alias("label"), "postcode").alias("properties")))
     return a.select("rec_id", feature.alias("feature")).distinct()
@@ -264,20 +307,21 @@ def k6(spark, sf):
 @query("q37_attribution", f"select p.ping_id, string_agg(distinct b.dataset, '|' order by b.dataset) as datasets from ({SQL['j9_nearest_address']}) p join (select distinct rec_id, dataset from osm_addresses) b on b.rec_id = p.rec_id group by p.ping_id")
 def q37(spark, sf):
     near = build.j9(spark, sf).select("ping_id", "rec_id")
-    sources = addresses(spark, sf).select("rec_id", "dataset").distinct()
+    sources = addresses(spark, sf, "dataset")
     return near.join(sources, "rec_id").groupBy("ping_id").agg(F.array_join(F.array_sort(F.collect_set("dataset")), "|").alias("datasets"))
 
 
 @query("q32_confidence")
 def q32(spark, sf):
     """A house answered for an import row, rated by how often such answers lie within 100 m of the row's own point."""
-    k = keyed(spark, sf).filter(geo.is_point(F.col("lon"), F.col("lat")))
+    k = keyed(spark, sf, "s", "n", "lon", "lat", "locality", "postcode").filter(geo.is_point(F.col("lon"), F.col("lat")))
     known = k.groupBy("s", "n").agg(F.min("rec_id").alias("hit"), F.min_by("lon", "rec_id").alias("_lon"), F.min_by("lat", "rec_id").alias("_lat"), F.min_by("locality", "rec_id").alias("_loc"), F.min_by("postcode", "rec_id").alias("_code"), F.count(F.lit(1)).alias("c"))
-    i = keyed_imports(spark, sf).filter(geo.is_point(F.col("lon"), F.col("lat"))).join(known, ["s", "n"])
+    i = keyed_imports(spark, sf, "s", "n", "city", "postcode", "lon", "lat").filter(geo.is_point(F.col("lon"), F.col("lat"))).join(known, ["s", "n"])
     flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
     rows = i.select(
         "rec_id", "hit", flag(F.col("c") == 1).alias("only"), flag(text.search_key(F.col("city")) == text.search_key(F.col("_loc"))).alias("town"), flag(text.compact_postcode(F.col("postcode")) == text.compact_postcode(F.col("_code"))).alias("code"),
         flag(geo.distance_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")) <= 100).alias("good"),
     )
+    rows = Scratch(spark, "confidence").write(rows)  # each step of the fit reads it again
     weights = fit_logistic(rows, ["only", "town", "code"], "good")
     return rows.select("rec_id", "hit", F.round(rate(weights, ["only", "town", "code"]), 6).alias("confidence"))

@@ -87,7 +87,7 @@ def oracle_sql() -> dict[str, str]:
   case when l.id is null then array_to_string(d.path, '/') end as path,
   case when l.ring is null or not list_contains(l.ring, d.id) then (select count(*) from walk w where w.pos = d.id) - 1 end as n_descendants, l.cycle_id
 from ends d left join looped l on l.id = d.id""",
-        "p3_descendants": _EDGES + "select w.pos as ancestor_id, w.id as entry_id, w.steps as distance from walk w where w.steps > 0 and w.id not in (select id from looped)",
+        "p3_descendants": _EDGES + ", on_ring as (select distinct unnest(ring) as id from looped) select w.pos as ancestor_id, w.id as entry_id, w.steps as distance from walk w where w.steps > 0 and w.id not in (select id from on_ring) and w.pos not in (select id from on_ring)",
         "p5_found": _NEAR + "select ping_id, rec_id from pairs where d <= 30",
         "p5_distances": _NEAR + "select ping_id, rec_id, round(d, 2) as distance_m from pairs where d <= 30",
     } | SQL

@@ -14,13 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); where it is unset, one of our own."""
+    """The shared folder of the cluster, ``spark.checkpoint.dir``. Unset: an error, but for a local master a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="placeloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="placeloom-")
+    return _LOCAL[context.applicationId]
 
 
 class Scratch:

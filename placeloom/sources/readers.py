@@ -41,12 +41,20 @@ def address_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zip_entry_lines(spark: SparkSession, path: str, entry: str) -> DataFrame:
-    """``line`` of one entry of an archive, unpacked as it is read (gzip inside it too); none if it isn't there."""
+    """``line`` of one entry of each archive, unpacked as it is read (gzip inside it too); none if it isn't there.
+
+    Archives are listed, not loaded: a task opens the file through the session's file system, finds the entry in the
+    directory at its end and reads on from the entry's own offset. ``path`` may be a pattern; archives are read in parallel.
+    """
+    import pyarrow.fs as afs
+
+    listed = spark.read.format("binaryFile").load(path).select("path")  # contents are not read for their path alone
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for uri in frame["path"]:
+                source, at = afs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
+                with source.open_input_file(at) as file, zipfile.ZipFile(file) as archive:
                     if entry in archive.namelist():
                         raw = archive.open(entry)
                         stream = gzip.open(raw) if entry.endswith(".gz") else raw
@@ -58,7 +66,7 @@ def zip_entry_lines(spark: SparkSession, path: str, entry: str) -> DataFrame:
                                 lines = []
                         yield pd.DataFrame({"line": lines})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "line string")
+    return listed.mapInPandas(read, "line string")
 
 
 def view_ranks(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -14,19 +15,33 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(df: DataFrame, root: str) -> str:
-    """K1: write a new generation under ``root``, check its row count, then switch the pointer file by a rename."""
+    """K1, K5: write a new generation under ``root``, count it, then replace the pointer file in one rename.
+
+    Rows are counted as they are written; a generation that reads back another number raises ``OSError`` and is not pointed at.
+    The rename overwrites, so that a reader always finds the old pointer or the new one.
+    """
     spark = df.sparkSession
     name = f"generation-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{name}")
-    spark.read.parquet(f"{root}/{name}").count()  # readable before it is pointed at
-    beside, fs = _fs(spark, f"{root}/.current-{uuid.uuid4().hex}")
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/{name}")
+    read = spark.read.parquet(f"{root}/{name}").count()
+    if read != written.get["n"]:
+        raise OSError(f"{read} rows of {written.get['n']} in {name}")
+    replace_file(spark, f"{root}/CURRENT", name.encode())
+    return name
+
+
+def replace_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """K5: a small file written beside its place and moved over it."""
+    beside, fs = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(beside)
-    out.write(bytearray(name.encode()))
+    out.write(bytearray(content))
     out.close()
-    current, _ = _fs(spark, f"{root}/CURRENT")
-    fs.delete(current, False)
-    fs.rename(beside, current)
-    return name
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(beside.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context.rename(fs.makeQualified(beside), fs.makeQualified(_fs(spark, path)[0]), overwrite)
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:

@@ -16,7 +16,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("given", "want"),
-    [("king st w", "king street west"), ("st clair ave", "st clair avenue"), ("12 st george st", "12 st george street"), ("twenty first st", "21st street"), ("fifth ave", "5th avenue"), ("first baptist church", "first baptist church"), ("twelfth st", "12th street")],
+    [("elm rd n", "elm road north"), ("st osyth ln", "st osyth lane"), ("9 st bride sq", "9 st bride square"), ("thirty second ln", "32nd lane"), ("third blvd", "3rd boulevard"), ("second hand books", "second hand books"), ("eleventh rd", "11th road")],
 )
 def test_expansion(spark, given, want):
     assert one(spark, text.expand_abbreviations(F.lit(given))) == want
@@ -25,12 +25,19 @@ def test_expansion(spark, given, want):
 def test_keys(spark):
     assert one(spark, text.search_key(F.lit("Straße des Ø-Æro, 5b"))) == "strasse des o aero 5b"
     assert one(spark, text.search_key(F.lit(" .,"))) is None
-    assert one(spark, text.street_text(F.lit("the donway e"))) == "the donway east"
-    assert one(spark, text.base_number(F.lit("407 1/2"))) == 407
+    assert one(spark, text.street_text(F.lit("old quarry se"))) == "old quarry southeast"
+    assert one(spark, text.base_number(F.lit("88 3/4"))) == 88
     assert one(spark, text.normal_url(F.lit("HTTPS://www.Example.org/a/"))) == "example.org/a"
     assert one(spark, text.last_nine_digits(F.lit("+49 30 1234567"))) == "301234567"
 
 
+def test_classes_and_licences(spark):
+    assert [one(spark, text.road_class(F.lit(h))) for h in ("bridleway", "footway", "trunk_link", "corridor")] == [13, 13, 1, 16]
+    terms = lambda t: one(spark, text.licence_terms(F.lit(t)))
+    assert [terms(t) for t in ("CC-BY-NC-ND 4.0", "https://creativecommons.org/licenses/by-nd/3.0/", "CC BY-NC 2.0", "For non-commercial use", "ODbL 1.0", "by nc ferries")] == ["restricted", "restricted", "non_commercial", "non_commercial", "permitted", "permitted"]
+    assert one(spark, text.licence_terms(F.lit("CC BY-NC 2.0"), F.lit("CC BY-NC 2.0 "), F.lit("permitted"))) == "permitted"
+
+
 def test_hilbert_neighbours_and_spread(spark):
     rows = [(x, y) for x in range(16) for y in range(16)]
     df = spark.createDataFrame([(x * 2**28 - 1_800_000_000, y * 2**27 - 900_000_000) for x, y in rows], "lon long, lat long")

@@ -18,7 +18,7 @@ def rows(table):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(n for n in core.oracle_sql() if not n.startswith("p3")))
+@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
