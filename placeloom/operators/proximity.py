@@ -157,8 +157,7 @@ def near_shapes(points: DataFrame, layers: list[tuple[int, DataFrame]], radius_m
     level = F.when(most > PIECE_M * PIECES, F.ceil(F.log(most / (PIECE_M * PIECES)) / math.log(8.0) - 1e-9)).otherwise(0).cast("int")
     cut = shapes.withColumn("_most", most).withColumn("_level", level)
     cut = cut.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_most") / (PIECE_M * F.pow(F.lit(8.0), "_level"))).cast("int")))
-    mid = (F.explode(F.sequence(F.lit(1), F.col("_n"))) - 0.5) / F.col("_n")
-    cut = cut.withColumn("_mid", mid)
+    cut = cut.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn("_mid", (F.col("_i") - 0.5) / F.col("_n"))
     middle_lon = F.when(line, wrap(lon + wrap(F.col("lon2") - lon) * F.col("_mid"))).otherwise(lon)
     middle_lat = F.when(line, lat + (F.col("lat2") - lat) * F.col("_mid")).otherwise(lat)
     ends = F.struct("layer", "shape_id", lon.alias("lon"), lat.alias("lat"), "lon2", "lat2").alias("_s")

@@ -1,8 +1,11 @@
 """Records of delimited files to typed rows, the broken ones apart with their reason.
 
-Blocks of records go through Arrow's CSV reader at once, with vectorised checks of the
-typed columns. A block that fails is halved, again and again, until what fails is a single
-record, which a strict parser then diagnoses; all others came through the bulk path.
+Blocks of thousands of records are judged at once: one pattern over the whole column for the quoting and the
+number of fields, Arrow's CSV reader for what passes, vectorised rules for the typed columns. The block's
+verdicts are kept as running sums, so that whether a part of it fails is one subtraction; a failing block is
+halved, again and again, until what fails is a single record, which a strict parser then diagnoses. All
+others keep the values of the bulk path. Every verdict is of a record alone, so that no result depends
+on the block a record falls in.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import re
 from collections.abc import Iterator
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
@@ -23,8 +27,6 @@ from placeloom.runtime import Scratch
 DELIMITERS = [",", ";", "\t", "|"]
 NUMBER = r"^[+-]?[0-9]+(\.[0-9]+)?$"
 BLANK = " \t\r\n\v\f\xa0  　﻿"
-#: Failing blocks of so many records go to the strict parser, which then costs less than halving on.
-STRICT = 8
 #: Kinds of columns; a column that a layout doesn't name is text.
 LAYOUT = {"lat": "latitude", "lon": "longitude", "country": "country", "captured": "day"}
 _ARROW = {"latitude": pa.float64(), "longitude": pa.float64(), "day": pa.date32()}
@@ -103,76 +105,94 @@ class BulkParser:
         self.delimiter, self.columns, self.layout = delimiter, columns, layout
         self.names = names
         d = re.escape(delimiter)
-        field = f'(?:"(?:[^"]|"")*"|[^"{d}][^"{d}]*|)'
-        self.whole = f"(?s)^{field}(?:{d}{field})*$"
+        field = f'(?:"(?:[^"]|"")*"|[^"{d}\r\n]*)'  # a bare line end in a record is text, but not to the reader
+        self.whole = rf"(?s)\A{field}(?:{d}{field})" + "{" + str(max(0, len(columns) - 1)) + r"}\z"
 
-    def bulk(self, records: pa.Array) -> dict[str, pa.Array] | None:
-        """Typed columns of a block in which every record is valid, else None."""
-        if not pc.all(pc.match_substring_regex(records, self.whole)).as_py():
-            return None
-        if pc.any(pc.ends_with(records, "\r")).as_py():
-            return None  # the reader would take the return as part of the line end
+    def read(self, records: pa.Array) -> list[pa.Array]:
+        """The fields of well-formed records, a column each, as text."""
         body = "\n".join(records.to_pylist()).encode()
-        if body[:3] == b"\xef\xbb\xbf":
-            return None  # the reader would take these three bytes for a mark
         ids = [f"c{i}" for i in range(len(self.columns))]
-        try:
-            table = csv.read_csv(
-                io.BytesIO(body + b"\n"),
-                read_options=csv.ReadOptions(column_names=ids, use_threads=False, block_size=len(body) + 16),
-                parse_options=csv.ParseOptions(delimiter=self.delimiter, newlines_in_values=True, ignore_empty_lines=False),
-                convert_options=csv.ConvertOptions(column_types={i: pa.string() for i in ids}, strings_can_be_null=False, quoted_strings_can_be_null=False),
-            )
-        except pa.ArrowInvalid:
-            return None
+        table = csv.read_csv(
+            io.BytesIO(body + b"\n"),
+            read_options=csv.ReadOptions(column_names=ids, use_threads=False, block_size=len(body) + 16),
+            parse_options=csv.ParseOptions(delimiter=self.delimiter, newlines_in_values=True, ignore_empty_lines=False),
+            convert_options=csv.ConvertOptions(column_types={i: pa.string() for i in ids}, strings_can_be_null=False, quoted_strings_can_be_null=False),
+        )
         if len(table) != len(records):
-            return None
-        out: dict[str, pa.Array] = {}
-        for name, cid in zip(self.columns, ids):
-            column = table[cid].combine_chunks()
-            kind = self.layout.get(name, "text")
-            if kind in ("latitude", "longitude"):
-                column = pc.utf8_trim(column, BLANK)
-                empty = pc.equal(column, "")
-                if not pc.all(pc.or_(empty, pc.match_substring_regex(column, NUMBER))).as_py():
-                    return None
-                column = pc.cast(pc.if_else(empty, None, column), pa.float64())
-                if not pc.all(pc.less_equal(pc.abs(column), 90.0 if kind == "latitude" else 180.0)).as_py() and len(column) > column.null_count:
-                    return None
-            elif kind == "country":
-                if not pc.all(pc.match_substring_regex(column, r"\A[A-Za-z]{2}\z")).as_py():
-                    return None
-            elif kind == "day":
-                empty = pc.equal(column, "")
-                if not pc.all(pc.or_(empty, pc.match_substring_regex(column, r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"))).as_py():
-                    return None
-                try:
-                    column = pc.cast(pc.if_else(empty, None, column), pa.date32())
-                except pa.ArrowInvalid:
-                    return None
-            out[name] = column
-        return out
+            raise pa.ArrowInvalid("a record is not a line")
+        return [table[i].combine_chunks() for i in ids]
+
+    def typed(self, name: str, column: pa.Array) -> tuple[pa.Array | None, pa.Array]:
+        """Which fields of a column are valid (None: all), and its values, null where they are not."""
+        kind = self.layout.get(name, "text")
+        if kind in ("latitude", "longitude"):
+            column = pc.utf8_trim(column, BLANK)
+            empty, number = pc.equal(column, ""), pc.match_substring_regex(column, NUMBER.replace("^", r"\A").replace("$", r"\z"))
+            value = pc.cast(pc.if_else(number, column, None), pa.float64())
+            near = pc.fill_null(pc.less_equal(pc.abs(value), 90.0 if kind == "latitude" else 180.0), False)
+            return pc.or_(empty, near), value
+        if kind == "country":
+            return pc.match_substring_regex(column, r"\A[A-Za-z]{2}\z"), column
+        if kind == "day":
+            empty, shape = pc.equal(column, ""), pc.match_substring_regex(column, r"\A[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])\z")
+            shape = pc.and_(shape, pc.invert(pc.starts_with(column, "0000")))
+            year, month, day = (pc.cast(pc.if_else(shape, pc.utf8_slice_codeunits(column, i, j), "1"), pa.int32()) for i, j in ((0, 4), (5, 7), (8, 10)))
+            fourth = lambda n: pc.equal(pc.subtract(year, pc.multiply(pc.divide(year, n), n)), 0)
+            leap = pc.and_(fourth(4), pc.or_(pc.invert(fourth(100)), fourth(400)))
+            last = pc.if_else(pc.equal(month, 2), pc.add(28, pc.cast(leap, pa.int32())), pc.if_else(pc.is_in(month, pa.array([4, 6, 9, 11], pa.int32())), 30, 31))
+            exists = pc.and_(shape, pc.less_equal(day, last))
+            return pc.or_(empty, exists), pc.cast(pc.if_else(exists, column, None), pa.date32())
+        return None, column
+
+    def bulk(self, records: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        """Which records of a block are valid, and typed columns of the whole block, null where they are not."""
+        if not 0 < len(self.columns) <= 1000:  # no record fits; the pattern counts no further
+            return np.zeros(len(records), bool), {}
+        good = pc.match_substring_regex(records, self.whole).to_numpy(zero_copy_only=False)
+        odd = pc.starts_with(records, "\ufeff").to_numpy(zero_copy_only=False)  # the reader would take it for a mark
+        if len(self.columns) < 2:
+            odd |= pc.equal(records, "").to_numpy(zero_copy_only=False)
+        good &= ~odd
+        at = np.flatnonzero(good)
+        columns: dict[str, pa.Array] = {}
+        if len(at):
+            for name, column in zip(self.columns, self.read(records.take(pa.array(at)))):
+                valid, columns[name] = self.typed(name, column)
+                if valid is not None:
+                    good[at[~valid.to_numpy(zero_copy_only=False)]] = False
+        place = np.zeros(len(records), np.int64)
+        place[at] = np.arange(len(at))
+        keep = pa.array(place, mask=~good)
+        return good, {n: c.take(keep) for n, c in columns.items() if n in self.names}
 
-    def parse(self, rows: pa.Array, records: pa.Array) -> Iterator[tuple[pa.Array, list[str | None], dict[str, pa.Array]]]:
-        """Row numbers, reasons and typed columns, in parts."""
-        todo = [(rows, records)]
-        lone: list[tuple[int, str | None, dict]] = []
+    def parse(self, records: pa.Array) -> tuple[list[str | None], dict[str, pa.Array], int]:
+        """Reasons and typed columns of a block, in order, and how many records came to the strict parser."""
+        good, columns = self.bulk(records)
+        bad = np.concatenate([[0], np.cumsum(~good)])
+        reasons: list[str | None] = [None] * len(records)
+        fixed: dict[int, dict] = {}
+        strict, todo = 0, [(0, len(records))]
         while todo:
-            at, part = todo.pop()
-            good = self.bulk(part) if len(part) > STRICT else None
-            if good is not None:
-                yield at, [None] * len(at), good
-            elif len(part) > STRICT:
-                half = len(part) // 2
-                todo += [(at[:half], part[:half]), (at[half:], part[half:])]
-            else:
-                for i, record in zip(at.to_pylist(), part.to_pylist()):
-                    lone.append((i, *diagnose(record, self.delimiter, self.columns, self.layout)))
-        if lone:
-            columns = {
-                n: pa.array([v.get(n) for _, _, v in lone], _ARROW.get(self.layout.get(n, "text"), pa.string())) for n in self.columns if n in self.names
-            }
-            yield pa.array([x[0] for x in lone], pa.int64()), [x[1] for x in lone], columns
+            low, high = todo.pop()
+            if bad[high] == bad[low]:
+                continue
+            if high - low > 1:
+                half = (low + high) // 2
+                todo += [(low, half), (half, high)]
+                continue
+            strict += 1
+            reasons[low], values = diagnose(records[low].as_py(), self.delimiter, self.columns, self.layout)
+            if reasons[low] is None:
+                fixed[low] = values
+        if fixed:  # records that only the reader could not take
+            rows = np.arange(len(records))
+            rows[list(fixed)] = len(records) + np.arange(len(fixed))
+            for n in self.names:
+                if n in self.columns:
+                    kind = _ARROW.get(self.layout.get(n, "text"), pa.string())
+                    whole = columns[n].cast(kind) if n in columns else pa.nulls(len(records), kind)
+                    columns[n] = pa.concat_arrays([whole, pa.array([v.get(n) for v in fixed.values()], kind)]).take(pa.array(rows))
+        return reasons, columns, strict
 
 
 def file_specs(lines: DataFrame, files: DataFrame, scratch: Scratch) -> DataFrame:
@@ -221,7 +241,7 @@ def file_specs(lines: DataFrame, files: DataFrame, scratch: Scratch) -> DataFram
     return scratch.write(spec.mapInPandas(choose, f"file_id {kind}, delimiter string, columns array<string>, first long"))
 
 
-def parse_records(lines: DataFrame, files: DataFrame, columns: list[str], layout: dict[str, str] | None = None, block: int = 64) -> DataFrame:
+def parse_records(lines: DataFrame, files: DataFrame, columns: list[str], layout: dict[str, str] | None = None, block: int = 10_000) -> DataFrame:
     """``file_id, line_no, reason`` and the typed ``columns`` of every record.
 
     ``lines(file_id, line_no, raw_line)``, ``files(file_id, header_row, delimiter, column_names)``.
@@ -268,12 +288,11 @@ def parse_records(lines: DataFrame, files: DataFrame, columns: list[str], layout
                 parser = BulkParser(delimiter, list(names), layout, columns)
                 for start in range(0, len(rows), block):
                     at = pa.array(rows[start : start + block], pa.int64())
-                    for where, reasons, values in parser.parse(at, raw.take(at)):
-                        n = len(where)
-                        yield pa.RecordBatch.from_arrays(
-                            [table["file_id"].take(where).combine_chunks(), table["line_no"].take(where).combine_chunks(), pa.array(reasons, pa.string())]
-                            + [values[c].cast(arrow[c]) if c in values else pa.nulls(n, arrow[c]) for c in columns],
-                            names=["file_id", "line_no", "reason", *columns],
-                        )
+                    reasons, values, _ = parser.parse(raw.take(at))
+                    yield pa.RecordBatch.from_arrays(
+                        [table["file_id"].take(at).combine_chunks(), table["line_no"].take(at).combine_chunks(), pa.array(reasons, pa.string())]
+                        + [values[c].cast(arrow[c]) if c in values else pa.nulls(len(at), arrow[c]) for c in columns],
+                        names=["file_id", "line_no", "reason", *columns],
+                    )
 
     return work.mapInArrow(parse, schema)

@@ -213,11 +213,11 @@ def stretches(spark: SparkSession, sf: str) -> DataFrame:
     return k.withColumn("ranged", F.expr("b2 > b and (b2 - b) % 2 = 0"))
 
 
-@query("j11_nearest_segment", f"select ping_id, cast(arg_min(rec_id, (metres, cast(rec_id as varchar))) as varchar) as rec_id, round(min(metres), 2) as metres from {_MEASURED} group by ping_id")
+@query("j11_nearest_segment", f"select ping_id, cast(arg_min(rec_id, (metres, cast(rec_id as varchar))) as varchar) as rec_id, min(metres) as metres from {_MEASURED} group by ping_id")
 def j11(spark, sf):
     shapes = stretches(spark, sf).withColumnRenamed("rec_id", "shape_id")
     near = proximity.near_shapes(table(spark, sf, "pings"), [(0, shapes)], 30.0, "ping_id")
-    return near.select("ping_id", F.col("shape_id").alias("rec_id"), F.round("metres", 2).alias("metres"))
+    return near.select("ping_id", F.col("shape_id").alias("rec_id"), "metres")
 
 
 _NEARLOC = f"(select ping_id, arg_min(locality, (d, locality)) as locality from (select a.ping_id, b.locality, round({DIST}, 3) as d from {_PINGS} a join {_LOC} b on abs(a.lat - b.lat) < 0.5) where d <= 50000 group by ping_id)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,40 @@ pairs as (select ping_id, rec_id, min({_FAR}) as d from a join b on a.r = b.r
 """
 
 
+_BL = r"[\s\x{a0}\x{3000}\x{feff}]"
+_FIELD = r'("(?:[^"]|"")*"|[^"{d}]*)'
+_EACH = lambda pattern: "case delimiter " + " ".join(f"when {d} then {pattern(c)}" for d, c in (("','", ","), ("';'", ";"), ("chr(9)", r"\t"), ("'|'", r"\|"))) + " end"
+_WIDTHS = r"""
+with f as (select file_id, bool_or(header_row) as header_row, max(delimiter) as delimiter, max(column_names) as column_names from batch_files group by file_id),
+seen as (select distinct file_id, line_no, raw_line from batch_lines where raw_line is not null and not regexp_full_match(raw_line, 'BLANK*')),
+heads as (select file_id, min(line_no) as first, arg_min(raw_line, line_no) as head from seen group by file_id),
+d as (select unnest([',', ';', chr(9), '|']) as d, unnest([0, 1, 2, 3]) as i),
+w as (select file_id, i, d, length(bare) - length(replace(bare, d, '')) + 1 as w, count(*) as c from (select file_id, regexp_replace(raw_line, '"[^"]*"', '', 'g') as bare from seen), d group by all),
+e as (select f.*, heads.first, heads.head from f left join heads using (file_id)),
+fits as (select e.file_id, w.i, w.d, case when (e.header_row and e.head is not null) or len(e.column_names) > 0 then sum(w.c) else max(w.c) end as n
+ from e join w using (file_id) where w.w > 1 and case when e.header_row and e.head is not null then w.w = length(regexp_replace(e.head, '"[^"]*"', '', 'g')) - length(replace(regexp_replace(e.head, '"[^"]*"', '', 'g'), w.d, '')) + 1 else len(coalesce(e.column_names, [])) = 0 or w.w = len(e.column_names) end group by e.file_id, w.i, w.d, e.header_row, e.head, e.column_names),
+best as (select file_id, arg_min(d, (-n, i)) as d from fits group by file_id),
+spec as (select e.file_id, coalesce(nullif(e.delimiter, ''), best.d, ',') as delimiter, case when e.header_row then e.first end as first, case when e.header_row then e.head end as head, e.column_names from e left join best using (file_id)),
+named as (select file_id, delimiter, first, list_transform(case when head is not null then FIELDS(head) else coalesce(column_names, []) end, lambda x: lower(regexp_replace(regexp_replace(x, '^BLANK+', ''), 'BLANK+$', ''))) as names from spec),
+r as (select b.file_id, b.line_no, b.raw_line, delimiter, names from (select distinct file_id, line_no, raw_line from batch_lines where raw_line is not null) b join named using (file_id)
+ where (first is null or line_no > first) and (not regexp_full_match(raw_line, 'BLANK*') or contains(raw_line, delimiter))),
+q as (select *, GOOD as good, case when GOOD then FIELDS(raw_line) end as fields from r),
+v as (select *, nullif(regexp_replace(fields[list_position(names, 'lat')], '^BLANK+|BLANK+$', '', 'g'), '') as lat0, nullif(regexp_replace(fields[list_position(names, 'lon')], '^BLANK+|BLANK+$', '', 'g'), '') as lon0,
+ fields[list_position(names, 'country')] as country, nullif(fields[list_position(names, 'captured')], '') as day0 from q),
+judged as (select *, case when not good then 'broken_quoting' when len(fields) <> len(names) then 'wrong_column_count'
+ when not coalesce(regexp_full_match(lat0, '[+-]?[0-9]+(\.[0-9]+)?') and abs(try_cast(lat0 as double)) <= 90, true) or not coalesce(regexp_full_match(lon0, '[+-]?[0-9]+(\.[0-9]+)?') and abs(try_cast(lon0 as double)) <= 180, true)
+ or not coalesce(regexp_full_match(country, '[A-Za-z]{2}'), true) or (day0 is not null and (not regexp_full_match(day0, '[0-9]{4}-[0-9]{2}-[0-9]{2}') or day0 like '0000%' or try_cast(day0 as date) is null)) then 'invalid_value' end as reason from v)
+"""
+def _fields(text: str) -> str:
+    """The fields of a record: each begins with a delimiter once one is put in front."""
+    parts = _EACH(lambda d: f"regexp_extract_all({text.join(['chr(1) || ', ''])}, '(?:^\\x01|{d}){_FIELD.replace('{d}', d)}', 1)")
+    return f"list_transform({parts}, lambda y: case when y[1] = chr(34) then replace(y[2:-2], chr(34) || chr(34), chr(34)) else y end)"
+
+
+_GOOD = _EACH(lambda d: f"regexp_full_match(raw_line, '{_FIELD}(?:{d}{_FIELD})*'".replace("{d}", d) + ", 's')")
+_RECORDS = re.sub(r"FIELDS\((\w+)\)", lambda m: _fields(m[1]), _WIDTHS).replace("GOOD", _GOOD).replace("BLANK", _BL)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _EDGES + "select id as entry_id, cycle_id from looped",
@@ -88,6 +123,12 @@ def oracle_sql() -> dict[str, str]:
   case when l.ring is null or not list_contains(l.ring, d.id) then (select count(*) from walk w where w.pos = d.id) - 1 end as n_descendants, l.cycle_id
 from ends d left join looped l on l.id = d.id""",
         "p3_descendants": _EDGES + ", on_ring as (select distinct unnest(ring) as id from looped) select w.pos as ancestor_id, w.id as entry_id, w.steps as distance from walk w where w.steps > 0 and w.id not in (select id from on_ring) and w.pos not in (select id from on_ring)",
+        "p6_found": _RECORDS + "select file_id, cast(line_no as integer) as line_no, reason from judged where reason is not null",
+        "p6_valid": _RECORDS
+        + "select file_id, cast(line_no as integer) as line_no, "
+        + ", ".join(f"try_cast({n}0 as double) as {n}" if n in ("lat", "lon") else "try_cast(day0 as date) as captured" if n == "captured" else f"fields[list_position(names, '{n}')] as {n}" for n in RECORD)
+        + " from judged where reason is null",
+        "s11_delimiters": _RECORDS + "select file_id, delimiter, cast(len(names) as integer) as width from named",
         "p5_found": _NEAR + "select ping_id, rec_id from pairs where d <= 30",
         "p5_distances": _NEAR + "select ping_id, rec_id, round(d, 2) as distance_m from pairs where d <= 30",
     } | SQL
