@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, linkage, lookalike, mixing, pii, same_address
+from placeloom.llm import addresses, bpe, linkage, lookalike, mixing, pii, same_address
 from placeloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,10 +15,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def address_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the map and of the address files in one layout; a label's postcode stands in for a missing one."""
-    label_code = F.regexp_extract("label", r"\b([A-Za-z]{2}[0-9] ?[0-9][A-Za-z]{2}|[0-9]{5})\b", 1)
-    osm = table(spark, sf_dir, "osm_addresses").select(
-        F.col("rec_id").alias("rec"), "dataset", F.col("housenumber").alias("number"), "street", "unit",
-        F.coalesce("postcode", F.when(label_code != "", label_code)).alias("postcode"), "locality", "region", "lon", "lat",
+    osm = addresses.numbers_first(table(spark, sf_dir, "osm_addresses").withColumnRenamed("unit", "_unit"), "label").select(
+        F.col("rec_id").alias("rec"), "dataset", F.col("housenumber").alias("number"), "street", F.col("_unit").alias("unit"),
+        F.coalesce("postcode", F.get("codes", F.lit(0))).alias("postcode"), "locality", "region", "lon", "lat",
     )
     rows = table(spark, sf_dir, "import_rows").select(
         F.col("rec_id").alias("rec"), "dataset", "number", "street", "unit", "postcode",
@@ -40,7 +39,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = osm.select(F.col("rec_id").alias("key"), F.col("label").alias("text"))
     texts = table(spark, sf_dir, "queries").select(F.col("query_id").alias("key"), F.col("q").alias("text"))
     return same_address.same_address_pairs(
-        labels.unionByName(texts), osm.select(F.col("street").alias("text"), F.col("housenumber").alias("number")), osm.select(F.col("locality").alias("text"))
+        labels.unionByName(texts), osm.select(F.col("street").alias("text"), F.col("housenumber").alias("number")), osm.select(F.col("locality").alias("text")),
+        codes=osm.select(F.col("postcode").alias("text")),
     )
 
 
