@@ -82,7 +82,10 @@ def bare_column(text: Column) -> Column:
     c = F.lower(F.translate(c, one, other))
     for ch, to in several:
         c = F.replace(c, F.lit(ch), F.lit(to))
-    return F.trim(F.regexp_replace(F.when(c.rlike(r"[^\x00-\x7f]"), F.regexp_replace(c, r"\p{M}+", "")).otherwise(c), " +", " "))
+    c = F.regexp_replace(F.regexp_replace(c, r"\p{M}+", ""), " +", " ")
+    plain = F.regexp_replace(F.lower(text), r"[\s\x00-\x1f\x7f]+", " ")
+    # most values are plain; only others take the long way
+    return F.trim(F.when(text.rlike(r"[^\x20-\x7e]"), c).otherwise(plain))
 
 
 _CODE = r"(?<![\p{L}\d])([a-z]{1,2}\d[a-z\d]?)\s?(\d[a-z][a-z\d])(?![\p{L}\d])"

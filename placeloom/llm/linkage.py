@@ -114,9 +114,9 @@ def read_records(records: DataFrame, scratch: Scratch) -> DataFrame:
         "rec", "dataset", "lon", "lat", plain(F.regexp_extract(number, form, 1)).alias("number"), F.regexp_extract(number, form, 2).alias("letter"),
         F.coalesce(plain(F.regexp_extract(unit, r"\d+\s?[a-z]?|[a-z]$", 0)), F.lit("")).alias("unit"), F.coalesce(F.regexp_replace(addresses.bare_column(F.col("postcode")), "[^a-z0-9]", ""), F.lit("")).alias("postcode"),
         F.coalesce(addresses.bare_column(F.col("region")), F.lit("")).alias("region"), addresses.street_words(F.col("street")).alias("_street"), addresses.street_words(F.col("locality")).alias("_locality"),
-    ).filter("number <> ''")
+    )
     words = F.concat(F.array(F.lit("@")), "_street", F.array(F.lit(",")), "_locality")
-    parsed = scratch.write(parsed.withColumn("words", words).withColumn("spelt", F.array_join(named, "")).drop("_street", "_locality"))
+    parsed = scratch.write(parsed.withColumn("words", words).withColumn("spelt", F.array_join(named, "")).drop("_street", "_locality")).filter("number <> ''")
     lex = addresses.lexicon(records.select(F.col("street").alias("text"), "number"), records.select(F.col("locality").alias("text")), scratch)
     settled = addresses.settle_words(parsed.select("rec", "words"), ["rec"], lex, scratch)
     settled = settled.select("rec", "street", "kinds", "directions", F.array_join("localities", " ").alias("locality"))

@@ -1,10 +1,10 @@
 """One consistent form for texts that look the same but differ in their characters.
 
-Distinct tokens of the corpus go, by the hash of their folded form, into shards of bounded
-size. In each shard the clean spellings make up a trie; every token is run against it by an
-edit automaton to which look-alike letters and invisible characters cost nothing and all else
-more than allowed. Of the spellings so reached the preferred one becomes the token's form;
-tokens that reach none are folded character by character by the table.
+Distinct tokens of the corpus go, by the hash of a coarse key, into shards of bounded size. In each shard the clean
+spellings make up a trie; every other token, as it stands, is run against it by a weighted edit automaton: a
+look-alike letter, another width or composition of one, and an inserted character that shows nothing cost nothing, a look-alike
+of another group of shapes little, all else more than allowed. Of the spellings so reached the cheapest and
+then the commonest becomes the token's form; tokens that reach none are normalised character by character by the table.
 """
 
 from __future__ import annotations
@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 
 from placeloom.runtime import Scratch
 
-# Letters that look like a Latin letter, each before it.
-TWINS = (
-    "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ІI ЈJ ЅS ԌG ԚQ ԜW ҮY "
-    "аa еe оo рp сc уy хx іi јj ѕs ԁd һh ԛq ԝw ѵv ӏl "
-    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϲc ϳj "
-    "օo ɡg ɑa ‐- ‑-"
-)
-TWIN = {p[0]: p[1] for p in TWINS.split()}
+# Letters that are drawn like a Latin letter, which stands before them.
+TWINS = [
+    "AАΑᎪ", "BВΒᏴ", "CСϹᏟⅭ", "DᎠⅮ", "EЕΕᎬ", "FϜ", "GԌᏀ", "HНΗᎻ", "IІΙᏆ", "JЈͿᎫ", "KКΚᏦ", "LᏞⅬ", "MМΜᎷⅯ", "NΝ", "OОΟՕ", "PРΡᏢ", "QԚ", "RᎡ", "SЅՏᏚ", "TТΤᎢ", "UՍ",
+    "VѴᏙⅤ", "WԜᎳ", "XХΧⅩ", "YУΥҮ", "ZΖᏃ",
+    "aаɑ", "cсϲⅽᴄ", "dԁⅾ", "eе", "gɡց", "hһհ", "iі", "jјϳ", "mⅿ", "nո", "oоοօᴏ", "pрρ", "qԛզ", "sѕꜱ", "uս", "vѵνⅴᴠ", "wԝաᴡ", "xхⅹ", "yу", "zᴢ", "-‐‑",
+]
+TWIN = {c: group[0] for group in TWINS for c in group[1:]}
+# Signs drawn like more than one Latin letter, the likelier first.
+SEVERAL = {"Ӏ": "Il", "ӏ": "lI", "Ⅰ": "Il", "ⅼ": "lI", "Ɩ": "lI", "υ": "uv", "ʋ": "vu", "ү": "yv"}
+TWIN |= {c: letters[0] for c, letters in SEVERAL.items()}
+#: Cost of a letter's less likely reading, and what may be spent on a token; any other edit would cost more than that.
+SECOND, BUDGET = 1, 2
 #: Tokens of a shard, about.
 SHARD_TOKENS = 50_000
 
@@ -60,6 +64,25 @@ def folded(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(TWIN.get(c, c) for c in unicodedata.normalize("NFD", text)))
 
 
+def _classes() -> dict[str, str]:
+    """Letters that one sign may stand for share a class: a key that no look-alike can change."""
+    of: dict[str, str] = {}
+    for letters in SEVERAL.values():
+        joined = {of.get(x, x) for x in letters}
+        for x in [*of, *letters]:
+            if of.get(x, x) in joined:
+                of[x] = min(joined)
+    return of
+
+
+_CLASS = str.maketrans(_classes())
+
+
+def coarse(text: str) -> str:
+    """Equal for all tokens that the automaton can bring together."""
+    return folded(text).translate(_CLASS)
+
+
 def _script(ch: str) -> str:
     name = unicodedata.name(ch, "")
     return name.split(" ", 1)[0] if unicodedata.category(ch)[0] == "L" else ""
@@ -70,49 +93,47 @@ def clean(token: str) -> bool:
     return token.isascii() or (token == shown(token) and len({_script(c) for c in token} - {""}) <= 1)
 
 
+@lru_cache(maxsize=100_000)
+def _readings(ch: str) -> tuple[tuple[tuple[int, str], ...], ...]:
+    """What one character of a token may be read as: a sequence, each place with its letters and their cost; empty if it shows nothing."""
+    return tuple(tuple((SECOND * i, x) for i, x in enumerate(SEVERAL.get(c) or (TWIN.get(c, c),))) for c in unicodedata.normalize("NFD", _unfold(ch)))
+
+
 class Trie:
-    """Spellings, decomposed, with their weight; ``near`` finds those within a cost."""
+    """Clean spellings, decomposed, with their weight; ``near`` runs a token against them."""
 
     def __init__(self) -> None:
         self.root: dict = {}
-        self.alike: dict[str, set[str]] = {}
+        self.drawn: dict[str, set[str]] = {}
 
     def add(self, token: str, weight: tuple) -> None:
         node = self.root
         for ch in unicodedata.normalize("NFD", token):
-            self.alike.setdefault(TWIN.get(ch, ch), set()).add(ch)
+            self.drawn.setdefault(TWIN.get(ch, ch), set()).add(ch)
             node = node.setdefault(ch, {})
         node[""] = (weight, token)
 
-    def near(self, token: str, budget: int = 0) -> list[tuple[int, tuple, str]]:
-        """(cost, weight, spelling) of all spellings within ``budget``; other edits cost 1."""
-        text = unicodedata.normalize("NFD", shown(token))
-        found: dict[str, tuple[int, tuple, str]] = {}
-        todo = [(0, self.root, 0)]
-        seen: dict[tuple[int, int], int] = {}
-        while todo:
-            at, node, cost = todo.pop()
-            if seen.get((at, id(node)), budget + 1) <= cost:
-                continue
-            seen[at, id(node)] = cost
-            if at == len(text):
-                if "" in node:
-                    weight, spelling = node[""]
-                    if spelling not in found or found[spelling][0] > cost:
-                        found[spelling] = (cost, weight, spelling)
-            else:
-                for ch in self.alike.get(TWIN.get(text[at], text[at]), ()):
-                    if ch in node:
-                        todo.append((at + 1, node[ch], cost))
-                if cost < budget:
-                    todo.append((at + 1, node, cost + 1))
-            if cost < budget:
-                for ch, below in node.items():
-                    if ch:
-                        todo.append((at, below, cost + 1))
-                        if at < len(text):
-                            todo.append((at + 1, below, cost + 1))
-        return list(found.values())
+    def near(self, token: str, budget: int = BUDGET) -> list[tuple[int, tuple, str]]:
+        """(cost, weight, spelling) of all spellings that a token, as it stands, may be read as within ``budget``.
+
+        Zero-cost edges skip characters that show nothing, take another width or composition apart, and cross from a letter to any that
+        is drawn like it; a sign with several readings pays for the less likely ones.
+        """
+        states: dict[int, tuple[int, dict]] = {id(self.root): (0, self.root)}
+        for ch in unicodedata.normalize("NFD", token):
+            for readings in _readings(ch):
+                ahead: dict[int, tuple[int, dict]] = {}
+                for cost, node in states.values():
+                    for more, letter in readings:
+                        if cost + more <= budget:
+                            for drawn in self.drawn.get(letter, ()):
+                                below = node.get(drawn)
+                                if below is not None and ahead.get(id(below), (budget + 1,))[0] > cost + more:
+                                    ahead[id(below)] = (cost + more, below)
+                states = ahead
+                if not states:
+                    return []
+        return [(cost, *node[""]) for cost, node in states.values() if "" in node]
 
 
 def spellings(tokens: DataFrame, scratch: Scratch) -> DataFrame:
@@ -121,9 +142,9 @@ def spellings(tokens: DataFrame, scratch: Scratch) -> DataFrame:
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(fold=frame["token"].map(folded))
+            yield frame.assign(fold=frame["token"].map(folded), key=frame["token"].map(coarse))
 
-    counted = scratch.write(counted.mapInPandas(fold, "token string, n long, fold string"))
+    counted = scratch.write(counted.mapInPandas(fold, "token string, n long, fold string, key string"))
     shards = counted.count() // SHARD_TOKENS + 1
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
@@ -136,12 +157,12 @@ def spellings(tokens: DataFrame, scratch: Scratch) -> DataFrame:
             if token.isascii() and token.isprintable():
                 continue  # a plain spelling is its own form
             reached = trie.near(token)
-            best = max(reached, key=lambda x: (x[1], x[2]))[2] if reached else fold
+            best = max(reached, key=lambda x: (-x[0], x[1], x[2]))[2] if reached else fold
             if best != token:
                 out.append((token, best))
         return pd.DataFrame(out, columns=["token", "form"])
 
-    out = counted.withColumn("shard", F.pmod(F.xxhash64("fold"), F.lit(shards))).groupBy("shard").applyInPandas(choose, "token string, form string")
+    out = counted.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(choose, "token string, form string")
     return scratch.write(out)
 
 

@@ -34,18 +34,18 @@ _CAP = r"[A-ZÀ-ÖØ-Þ]"
 _PART = r"von der|van der|van den|de la|von|van|der|den|del|della|de|di|da|du|zu|ter|dos|le"
 _WORD = rf"{_CAP}[^\W\d_]*(?:['’-][^\W\d_]+)*"
 
-_ENDING = re.compile(rf"(?:{_DE}|Stra(?:ß|ss)e|Str\.|Weg|Gasse|Platz|Allee) \d{{1,4}}[A-Za-z ]*$", re.I)
+_ENDING = re.compile(rf"(?:{_DE}|Stra(?:ß|ss)e|Str\.|Weg|Gasse|Platz|Allee) \d{{1,6}}[A-Za-z ]*$", re.I)
 _STOP = frozenset(" \t\r\n@<>()[]{}\"',;:|=/\\`")
 _HOST = re.compile(r"[\w-]+(?:\.[\w-]+)*")
 _SPELT = re.compile(r"(?<![\w.+'’-])([\w.+'’-]+)( ?[\[({] ?(?:at|AT|At) ?[\])}] ?| (?:at|AT) )([\w-]+(?:(?:\.| ?[\[({] ?(?:dot|DOT) ?[\])}] ?| (?:dot|DOT) )[\w-]+)+)")
 _SPELT_SIGNS = (" dot ", " DOT ", "[dot]", "[DOT]", "(dot)", "(DOT)", "{dot}", "(at)", "(AT)", "[at]", "[AT]", "{at}", "[ at ", "( at ")
-_NUMBER = re.compile(r"(?:(?<![\w#@&.-])|(?<=^[-+]))[+(]?\d(?:\d|[ ./-](?=[\d(])|\)[ .-]?(?=\d)|\((?=\d)){6,24}(?<=\d)(?![\w@])", re.M)
+_NUMBER = re.compile(r"(?:(?<![\w#@&.-])|(?<=^[-+]))[+(]?\d(?:\d|[ ./-](?=[\d(])|\)[ .-]?(?=\d)|\((?=\d)){6,}(?<=\d)(?![\w@])", re.M)
 _LETTERED = re.compile(r"(?<![\w-])[A-Z]{1,2} ?\d{2}(?: ?\d){4,6}(?: ?[A-Z])?(?!\w)")
 _ADDRESS = (
-    re.compile(rf"(?<![\w.,/-])\d{{1,4}}(?: ?[A-Za-z])?,? (?:{_WORD}\.? ){{1,4}}(?:{_WAYS})\b(?! *[=(:{{])"),
-    re.compile(rf"(?<![\w.,/-])\d{{1,4}}(?: ?[A-Za-z]|(?: bis| ter))?,? (?:{_FR})\.? (?:de la |de l['’]|des |de |du |d['’])?{_WORD}"),
-    re.compile(rf"(?<![\w-]){_CAP}[^\W\d_]{{2,}}(?:-[^\W\d_]+)*\.?(?: (?:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Platz|Allee))? \d{{1,4}}(?:[A-Za-z]| [A-Z])?(?!\w)"),
-    re.compile(rf"(?<!\w)(?:{_ES}) ?(?:de la |de los |del |de )?{_WORD}(?: {_WORD})?,? \d{{1,4}}(?: ?[A-Za-z])?(?!\w)"),
+    re.compile(rf"(?<![\w.,/-])\d{{1,6}}(?: ?[A-Za-z])?,? (?:{_WORD}\.? ){{1,4}}(?:{_WAYS})\b(?! *[=(:{{])"),
+    re.compile(rf"(?<![\w.,/-])\d{{1,6}}(?: ?[A-Za-z]|(?: bis| ter))?,? (?:{_FR})\.? (?:de la |de l['’]|des |de |du |d['’])?{_WORD}"),
+    re.compile(rf"(?<![\w-]){_CAP}[^\W\d_]{{2,}}(?:-[^\W\d_]+)*\.?(?: (?:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Platz|Allee))? \d{{1,6}}(?:[A-Za-z]| [A-Z])?(?!\w)"),
+    re.compile(rf"(?<!\w)(?:{_ES}) ?(?:de la |de los |del |de )?{_WORD}(?: {_WORD})?,? \d{{1,6}}(?: ?[A-Za-z])?(?!\w)"),
 )
 _RUN = re.compile(rf"(?<![\w@/.]){_CAP}(?:\.|[^\W\d_]*(?:['’-][^\W\d_]+)*)(?:,? (?:(?:{_PART}) )?{_CAP}(?:\.(?= )|[^\W\d_]*(?:['’-][^\W\d_]+)*))+(?![\w@/(])")
 _PIECE = re.compile(rf"(?:(?:{_PART}) )?({_CAP}(?:\.|[^\W\d_]*(?:['’-][^\W\d_]+)*))(,?)")
@@ -77,7 +77,7 @@ def propose(text: str) -> list[Candidate]:
         if text[at + 1 : at + 2] not in ("@", " ", ""):
             left, right = at, _HOST.match(text, at + 1)
             if right and "." in right[0]:
-                while left > 0 and at - left < 80 and text[left - 1] not in _STOP:
+                while left > 0 and text[left - 1] not in _STOP:
                     left -= 1
                 if left < at:
                     out.append(("email", left, right.end()))
@@ -87,7 +87,7 @@ def propose(text: str) -> list[Candidate]:
     for m in _NUMBER.finditer(text):
         s = m[0]
         n = sum(map(str.isdigit, s))
-        if 8 <= n <= 15 and not (s[0] in "12" and s[4:5] == "-" and s[7:8] == "-"):
+        if n >= 8 and not (s[0] in "12" and s[4:5] == "-" and s[7:8] == "-"):
             start, end = m.start(), m.end()
             if s[0] == "(" and ")" not in s:
                 start += 1
@@ -102,7 +102,8 @@ def propose(text: str) -> list[Candidate]:
         for i in range(len(pieces)):
             if pieces[i][2].endswith(".") and len(pieces[i][2]) > 2:
                 continue
-            for j in range(i + 1, min(i + 5, len(pieces))):
+            # every stretch of up to five pieces; longer ones from where a run begins and to where it ends, so that a line in capitals stays linear
+            for j in [*range(i + 1, len(pieces) if i == 0 else min(i + 5, len(pieces))), *range(max(i + 5, len(pieces) - 1), len(pieces) if i else 0)]:
                 commas = sum(1 for k in range(i, j) if pieces[k][3])
                 last = pieces[j][2]
                 if len(last) > 1 and not last.endswith(".") and (not commas or (commas == 1 and j == i + 1)):

@@ -23,7 +23,8 @@ def read_texts(texts: DataFrame, text_col: str, streets: DataFrame, localities:
     The sole long number of a text is its house number unless ``codes(text)`` or texts with a house number beside it know it as a postcode.
     """
     distinct = texts.select(F.col(text_col).alias("text")).filter("text is not null").distinct()
-    parsed = scratch.write(addresses.numbers_first(distinct).filter("size(numbers) > 0"))
+    # written before it is filtered: a filter pushed below would take every text apart twice
+    parsed = scratch.write(addresses.numbers_first(scratch.write(distinct))).filter("size(numbers) > 0")
     sole = (F.size("numbers") == 1) & F.get("numbers", F.lit(0)).rlike(r"^\d{4,}$") & (F.size("codes") == 0)
     stated = codes.select(F.regexp_replace(F.lower("text"), r"[^a-z0-9]", "").alias("code"))
     known = stated.unionByName(parsed.select(F.explode("codes").alias("code"))).filter(F.col("code").rlike(r"^\d{4,}$")).distinct()

@@ -30,7 +30,19 @@ def test_forms(spark):
 
 def test_automaton():
     t = lookalike.Trie()
-    for w in ("street", "strait", "st"):
+    for w in ("street", "strait", "st", "Zürich", "lane", "valley"):
         t.add(w, (1,))
-    assert [x[2] for x in t.near("stгeet")] == [] and [x[2] for x in t.near("strееt")] == ["street"]
-    assert {(c, w) for c, _, w in t.near("stret", 1)} == {(1, "street")}
+    reached = lambda w: [(c, x) for c, _, x in t.near(w)]
+    assert reached("stгeet") == [] and reached("stret") == []
+    assert reached("strееt") == reached("ｓｔreet") == reached("st\u200b\u00adreet") == reached("ꜱtreet") == [(0, "street")]
+    assert reached("Zu\u0308rich") == reached("Ｚürich") == [(0, "Zürich")]
+    assert reached("ӏane") == [(0, "lane")] and reached("Ӏane") == [(1, "lane")] and reached("ʋalley") == [(0, "valley")] and reached("υalley") == [(1, "valley")]
+
+
+def test_vocabulary_decides_where_the_table_cannot(spark):
+    """The table reads a palochka as I; only the trie knows that "lane" is a word and "Iane" is none."""
+    assert lookalike.folded("Ӏane") == "Iane" and lookalike.folded("ρaypal") == "paypal"
+    texts = ["Elm lane", "Elm Ӏane", "Elm Іce", "Elm Ӏce", "Elm Ice"]
+    forms = {x.text: x.form for x in lookalike.consistent_forms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert forms == {"Elm lane": "Elm lane", "Elm Ӏane": "Elm lane", "Elm Іce": "Elm Ice", "Elm Ӏce": "Elm Ice", "Elm Ice": "Elm Ice"}
+    assert len({lookalike.coarse(t) for t in ("Ӏane", "lane", "Iane")}) == 1

@@ -33,6 +33,15 @@ def test_find_and_redact(spark):
     assert pii.find_pii(df.limit(0), GIVEN).count() == 0
 
 
+def test_no_candidate_is_cut_short():
+    local, name = "very.long." * 12 + "name", "Maria Anna Sofia Clara Berta Ida Holmgren"
+    text = f"From: {local}@mail.example\nby {name} in 123456 Ruvogate Lane\n" + "A" * 9 + " Bc" * 4000
+    spans = {(k, text[a:b]) for k, a, b in pii.propose(text)}
+    assert {("email", f"{local}@mail.example"), ("name", name), ("name", name[6:]), ("address", "123456 Ruvogate Lane")} <= spans
+    assert len(pii.propose(text)) < 40_000
+    assert any(k == "phone" and len(s) == 40 for k, s in {(k, ("1" * 40)[a:b]) for k, a, b in pii.propose("1" * 40)})
+
+
 def test_long_text():
     text = ("word 12 " * 60_000) + " Reviewed-by: Selma Haskmond <selma@example.org>\n"
     assert {(k, text[a:b]) for k, a, b in pii.train(GIVEN).find([text])[0]} == {("name", "Selma Haskmond"), ("email", "selma@example.org")}
