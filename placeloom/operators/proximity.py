@@ -190,65 +190,103 @@ def near_shapes(points: DataFrame, layers: list[tuple[int, DataFrame]], radius_m
     return best.select(F.col("_id").alias(point_id), "b.layer", "b.shape_id", "b.metres", "b.t")
 
 
-def _cover(rings: list, top: float, levels: int) -> Iterator[tuple[int, int, int, bool]]:
-    """(level, row, column, inside) of plane cells ``top / 2**level`` degrees wide that cover a polygon."""
+TOP = 22.5  # degrees: cells of the first level, sixteen around the globe
+STEP = 4  # a cell of a level is that many wide and high in cells of the next
+FINE = 48  # a region is about that many of its smallest cells across, but for parts with many edges
+EDGES = 64  # border cells with more edges are divided further
+
+
+def _crossed(edges: np.ndarray, x: np.ndarray, y: np.ndarray, rx: float, ry: float) -> np.ndarray:
+    """How many edges (x0, y0, x1, y1) the way from a place to each point crosses."""
+    x0, y0, x1, y1 = edges.T[:, :, None]
+    side = lambda ax, ay: (x - rx) * (ay - ry) - (y - ry) * (ax - rx) > 0
+    line = lambda px, py: (x1 - x0) * (py - y0) - (y1 - y0) * (px - x0) > 0
+    return ((side(x0, y0) != side(x1, y1)) & (line(rx, ry) != line(x, y))).sum(0)
+
+
+def _reference(edges: np.ndarray, w: float, s: float, side: float) -> tuple[float, float]:
+    """A place in a cell on none of its edges."""
+    best, far = (w + side / 2, s + side / 2), -1.0
+    for i in range(8):
+        x, y = w + side * ((0.37 + 0.6180339887 * i) % 1), s + side * ((0.43 + 0.7548776662 * i) % 1)
+        if not len(edges):
+            return x, y
+        dx, dy = edges[:, 2] - edges[:, 0], edges[:, 3] - edges[:, 1]
+        t = np.clip(((x - edges[:, 0]) * dx + (y - edges[:, 1]) * dy) / np.maximum(dx * dx + dy * dy, 1e-300), 0, 1)
+        near = np.hypot(edges[:, 0] + t * dx - x, edges[:, 1] + t * dy - y).min()
+        if near > far:
+            best, far = (x, y), near
+        if far > side / 50:
+            break
+    return best
+
+
+def _cover(rings: list, top: float, levels: int) -> Iterator[tuple[int, int, int, bool, float, float, bool, np.ndarray]]:
+    """(level, row, column, inside, x, y, place inside, edges) of plane cells ``top / 4**level`` degrees wide that cover a polygon.
+
+    A border cell carries the edges that touch it and a place in it of which it is known whether it lies inside; what is
+    tested for a cell is passed on to its parts, so that each edge is looked at only where it runs.
+    """
     edges = np.concatenate([np.column_stack([r[:-1], r[1:]]) for r in rings])
     lo, hi = edges[:, :2].min(0), edges[:, :2].max(0)
-    todo = [
-        (0, y, x)
-        for y in range(int((lo[1] + 90) // top), int((hi[1] + 90) // top) + 1)
-        for x in range(int((lo[0] + 180) // top), int((hi[0] + 180) // top) + 1)
-    ]
+    extent = max(float((hi - lo).max()), 1e-9)
+    enough = min(levels, max(0, math.ceil(math.log(top * FINE / extent, STEP))))
+    out_x, out_y = lo[0] - 1.2345, lo[1] - 0.6789  # a place outside
+    todo = []
+    for y in range(int((lo[1] + 90) // top), int((hi[1] + 90) // top) + 1):
+        for x in range(math.floor((lo[0] + 180) / top), math.floor((hi[0] + 180) / top) + 1):
+            own = edges[_touching(edges, x * top - 180, y * top - 90, top)]
+            rx, ry = _reference(own, x * top - 180, y * top - 90, top)
+            todo.append((0, y, x, own, rx, ry, bool(_crossed(edges, np.array([rx]), np.array([ry]), out_x, out_y)[0] % 2)))
     while todo:
-        level, y, x = todo.pop()
-        side = top / 2**level
-        w, s = x * side - 180, y * side - 90
-        if _crosses(edges, w, s, w + side, s + side):
-            if level == levels:
-                yield level, y, x, False
-            else:
-                todo += [(level + 1, 2 * y + i, 2 * x + j) for i in (0, 1) for j in (0, 1)]
-        elif inside_rings(np.array([w + side / 2]), np.array([s + side / 2]), edges)[0]:
-            yield level, y, x, True
-
-
-def _crosses(edges: np.ndarray, w: float, s: float, e: float, n: float) -> bool:
-    """Whether any edge touches the box (clipping of all edges at once)."""
+        level, y, x, own, rx, ry, within = todo.pop()
+        if not len(own):
+            if within:
+                yield level, y, x, True, rx, ry, True, own
+            continue
+        if level >= enough and (len(own) <= EDGES or level >= levels):
+            yield level, y, x, False, rx, ry, within, own
+            continue
+        side = top / STEP ** (level + 1)
+        for i in range(STEP):
+            for j in range(STEP):
+                w, s = (STEP * x + j) * side - 180, (STEP * y + i) * side - 90
+                part = own[_touching(own, w, s, side)]
+                px, py = _reference(part, w, s, side)
+                odd = _crossed(own, np.array([px]), np.array([py]), rx, ry)[0] % 2
+                todo.append((level + 1, STEP * y + i, STEP * x + j, part, px, py, within != bool(odd)))
+
+
+def _touching(edges: np.ndarray, w: float, s: float, side: float) -> np.ndarray:
+    """Which edges touch a cell, a hair of slack included (clipping of all edges at once)."""
+    slack = side * 1e-9
     x0, y0, x1, y1 = edges.T
     t0, t1 = np.zeros(len(edges)), np.ones(len(edges))
     ok = np.ones(len(edges), bool)
-    for a, d, low, high in ((x0, x1 - x0, w, e), (y0, y1 - y0, s, n)):
+    for a, d, low, high in ((x0, x1 - x0, w - slack, w + side + slack), (y0, y1 - y0, s - slack, s + side + slack)):
         flat = d == 0
         ok &= ~flat | ((a >= low) & (a <= high))
         with np.errstate(divide="ignore", invalid="ignore"):
             p, q = (low - a) / d, (high - a) / d
         t0 = np.where(flat, t0, np.maximum(t0, np.minimum(p, q)))
         t1 = np.where(flat, t1, np.minimum(t1, np.maximum(p, q)))
-    return bool((ok & (t0 <= t1)).any())
-
-
-def inside_rings(x: np.ndarray, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Even-odd containment of points in a polygon given by its edges (x0, y0, x1, y1)."""
-    odd = np.zeros(len(x), bool)
-    for x0, y0, x1, y1 in edges:
-        if y0 != y1:
-            odd ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-    return odd
+    return ok & (t0 <= t1)
 
 
 def points_in_regions(
     points: DataFrame, regions: DataFrame, point_id: str, region_id: str, rings: str = "rings",
-    lon: str = "lon", lat: str = "lat", top_deg: float = 1.0, levels: int = 6,
+    lon: str = "lon", lat: str = "lat", levels: int = 7,
 ) -> DataFrame:
-    """``(point_id, region_id)`` for every point inside a region.
+    """``(point_id, region_id)`` for every point inside a region or on its border.
 
-    ``rings`` is ``array<array<struct<lon, lat>>>``: closed rings, holes by the even-odd rule, none
-    crossing the date line. Each region is covered adaptively: cells wholly inside stay large, those
-    on the border are halved down to ``top_deg / 2**levels``. Unusable points, null ids and regions
-    without a ring of three corners pair with nothing; repeated rows count once.
+    ``rings`` is ``array<array<struct<lon, lat>>>``: closed rings, holes by the even-odd rule; those that
+    cross the date line run on beyond 180 or -180. Each region is covered adaptively: cells wholly inside stay large, those
+    on the border are divided by four, until the region is some 48 of them across and further where many edges meet.
+    Unusable points, null ids and regions without a ring of three corners pair with nothing; repeated rows count once.
 
-    A point looks itself up once per level that any cell has. Regions on a border cell carry their rings to it, so the
-    exact test needs no second join.
+    A point looks itself up once per level in use. One equi-join answers interior cells at once; a border cell carries its own
+    edges and a place known to be inside or outside, so that a point is tested against the few edges between
+    the two, inside the JVM and without another look at either table.
     """
     id_type = regions.schema[region_id].dataType.simpleString()
 
@@ -258,11 +296,12 @@ def points_in_regions(
                 own = np.split(np.column_stack([np.asarray(x, float), np.asarray(y, float)]), np.cumsum(sizes)[:-1].astype(int)) if len(x) else []
                 own = [np.vstack([r, r[:1]]) if len(r) and (r[0] != r[-1]).any() else r for r in own]
                 own = [r for r in own if len(r) >= 4]
-                if not own:
-                    continue
-                flat = np.concatenate([np.column_stack([r[:-1], r[1:]]) for r in own]).ravel()
-                rows = [(rid, lv, (y << 24) + x, inside, [] if inside else flat) for lv, y, x, inside in _cover(own, top_deg, levels)]
-                yield pd.DataFrame(rows, columns=["_r", "_level", "_cell", "_inside", "_edges"])
+                if own:
+                    rows = []
+                    for lv, y, x, inside, rx, ry, within, edges in _cover(own, TOP, levels):
+                        turns, x = divmod(x, int(360 / TOP) * STEP**lv)
+                        rows.append((rid, lv, (y << 24) + x, inside, rx - 360 * turns, ry, within, (edges - [360.0 * turns, 0, 360.0 * turns, 0]).ravel()))
+                    yield pd.DataFrame(rows, columns=["_r", "_level", "_cell", "_inside", "_rx", "_ry", "_within", "_edges"])
 
     cells = (
         regions.select(F.col(region_id).alias("_r"), F.col(rings).alias("_rings"))
@@ -270,23 +309,24 @@ def points_in_regions(
         .distinct()
         .select("_r", F.filter("_rings", lambda r: r.isNotNull()).alias("_rings"))
         .select("_r", F.transform(F.flatten("_rings"), lambda p: p["lon"]).alias("_x"), F.transform(F.flatten("_rings"), lambda p: p["lat"]).alias("_y"), F.transform("_rings", F.size).alias("_sizes"))
-        .mapInPandas(cover, f"_r {id_type}, _level int, _cell long, _inside boolean, _edges array<double>")
+        .mapInPandas(cover, f"_r {id_type}, _level int, _cell long, _inside boolean, _rx double, _ry double, _within boolean, _edges array<double>")
     )
+    corners = F.transform(F.sequence(F.lit(0), (F.size("_edges") / 4).cast("int") - 1), lambda i: F.struct(*[F.get("_edges", (i * 4 + k).cast("int")).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]))
+    edges = F.when(F.size("_edges") > 0, corners)
+    cells = Scratch(points.sparkSession, "regions").write(cells.withColumn("_edges", edges))
+    used = sorted(r[0] for r in cells.select("_level").distinct().collect()) or [0]  # one number a level, seven or so
+    lon_, lat_ = F.col("lon"), F.col("lat")
     once = points.select(F.col(point_id).alias("_id"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"))
-    once = once.filter(F.col("_id").isNotNull() & is_point(F.col("lon"), F.col("lat"))).distinct()
-    probe = once.crossJoin(F.broadcast(cells.select("_level").distinct())).withColumn("_side", F.lit(top_deg) / F.pow(F.lit(2.0), "_level"))
-    probe = probe.withColumn(
-        "_cell", F.floor((F.col("lat") + 90) / F.col("_side")).cast("long") * _SHIFT + F.floor((F.col("lon") + 180) / F.col("_side")).cast("long")
-    )
+    once = once.filter(F.col("_id").isNotNull() & is_point(lon_, lat_)).withColumn("lon", F.when(lon_ == 180, -180.0).otherwise(lon_)).distinct()
+    at = lambda v: F.struct(F.lit(v).alias("level"), (F.floor((lat_ + 90) / (TOP / STEP**v)).cast("long") * _SHIFT + F.pmod(F.floor((lon_ + 180) / (TOP / STEP**v)).cast("long"), F.lit(int(360 / TOP) * STEP**v))).alias("cell"))
+    probe = once.select("*", F.explode(F.array(*map(at, used))).alias("_at")).select("_id", "lon", "lat", F.col("_at.level").alias("_level"), F.col("_at.cell").alias("_cell"))
     met = probe.join(cells.hint("merge"), ["_level", "_cell"])
-    sure = met.filter("_inside").select("_id", "_r")
-
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                keep = [bool(inside_rings(np.array([x]), np.array([y]), np.asarray(e).reshape(-1, 4))[0]) for x, y, e in zip(frame["lon"], frame["lat"], frame["_edges"])]
-                yield frame.loc[keep, ["_id", "_r"]]
-
-    p_type = points.schema[point_id].dataType.simpleString()
-    edge = met.filter("not _inside").select("_id", "_r", "lon", "lat", "_edges").mapInPandas(measure, f"_id {p_type}, _r {id_type}")
-    return sure.unionByName(edge).select(F.col("_id").alias(point_id), F.col("_r").alias(region_id)).distinct()
+    rx, ry = F.col("_rx"), F.col("_ry")
+    side = lambda ax, ay: ((lon_ - rx) * (ay - ry) - (lat_ - ry) * (ax - rx)) > 0
+    line = lambda e, px, py: (e["x1"] - e["x0"]) * (py - e["y0"]) - (e["y1"] - e["y0"]) * (px - e["x0"])
+    crossed = lambda e: (side(e["x0"], e["y0"]) != side(e["x1"], e["y1"])) & ((line(e, rx, ry) > 0) != (line(e, lon_, lat_) > 0))
+    between = lambda v, p, q: (v >= F.least(p, q)) & (v <= F.greatest(p, q))
+    on = lambda e: (line(e, lon_, lat_) == 0) & between(lon_, e["x0"], e["x1"]) & between(lat_, e["y0"], e["y1"])
+    tested = F.exists("_edges", on) | (F.col("_within") != (F.size(F.filter("_edges", crossed)) % 2 == 1))
+    found = met.filter(F.when(F.col("_inside"), True).otherwise(tested)).select(F.col("_id").alias(point_id), F.col("_r").alias(region_id))
+    return found.distinct()

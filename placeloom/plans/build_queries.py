@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placeloom.functions import geo, text
 from placeloom.operators import proximity, relational
-from placeloom.plans.catalogue import query
+from placeloom.plans.catalogue import SQL, query
 from placeloom.plans.scalar_queries import _EXTENT, ADR, HAV, IMP, OK_, addresses, imports, key
 from placeloom.runtime import table
 
@@ -65,7 +67,7 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
 @query("j4_containment", f"select distinct ping_id, locality from (select distinct ping_id, lon, lat from pings where {OK_}) p join {_BOX} b on {_INBOX}")
 def j4(spark, sf):
     rings = boxes(spark, sf).select("locality", geo.box_rings(*[F.col(c) for c in "wsen"]).alias("rings"))
-    return proximity.points_in_regions(table(spark, sf, "pings"), rings, "ping_id", "locality", top_deg=16.0, levels=10)
+    return proximity.points_in_regions(table(spark, sf, "pings"), rings, "ping_id", "locality")
 
 
 @query("a6_best_area", f"select ping_id, arg_min(locality, (round((e - w) * (n - s), 9), locality)) as locality, count(*) > 1 as ambiguous from (select distinct ping_id, lon, lat from pings where {OK_}) p join {_BOX} b on {_INBOX} group by ping_id")
@@ -74,6 +76,22 @@ def a6(spark, sf):
     return j4(spark, sf).join(sizes, "locality").groupBy("ping_id").agg(F.min_by("locality", "size").alias("locality"), (F.count(F.lit(1)) > 1).alias("ambiguous"))
 
 
+_STAR = f"(select l.locality, l.lat as cy, t.k, g.g, l.lon + g.size * cos(2 * pi() * t.k / 24) * (1 + 0.4 * sin(5 * 2 * pi() * t.k / 24)) as x, l.lat + g.size * sin(2 * pi() * t.k / 24) as y from LOCS l, range(25) t(k), (values (0, 0.02), (1, 0.005)) g(g, size))"
+
+
+@query("g11_point_in_polygon", """with c as CENT, s as (select a.locality, a.cy, a.x as x0, a.y as y0, b.x as x1, b.y as y1 from STAR a join STAR b on a.locality = b.locality and a.g = b.g and b.k = a.k + 1),
+ p as (select ping_id, lon + v as x, lat as y from PINGS, (values (-360), (0), (360)) t(v)) select p.ping_id, s.locality from p join s on abs(p.y - s.cy) < 0.03 group by p.ping_id, s.locality
+ having sum(case when (s.y0 > p.y) <> (s.y1 > p.y) and p.x < (s.x1 - s.x0) * (p.y - s.y0) / (s.y1 - s.y0) + s.x0 then 1 else 0 end) filter (where abs(p.x - s.x0) < 1) % 2 = 1""")
+def g11(spark, sf):
+    """Pings inside star-shaped areas with a hole around each locality, the date line included."""
+    turn = F.col("k") * (2 * math.pi / 24)
+    corner = lambda size: F.struct((F.col("lon") + size * F.cos(turn) * (1 + 0.4 * F.sin(5 * turn))).alias("lon"), (F.col("lat") + size * F.sin(turn)).alias("lat"))
+    corners = locality_points(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(24)))).select("locality", "k", corner(0.02).alias("a"), corner(0.005).alias("b"))
+    ring = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c])
+    stars = corners.groupBy("locality").agg(F.array(ring("a"), ring("b")).alias("rings"))
+    return proximity.points_in_regions(table(spark, sf, "pings"), stars, "ping_id", "locality")
+
+
 _REP = f"""(select distinct a.rec_id from (select * from {_KI} where {OK_}) a join (select * from {_K} where {OK_}) b on a.s = b.s and a.n = b.n
  where {DIST} <= 100 or ({DIST} <= 1000 and (a.postcode is null or b.postcode is null or a.postcode = b.postcode)))"""
 
@@ -129,6 +147,9 @@ def locality_points(spark: SparkSession, sf: str) -> DataFrame:
     return a.groupBy("locality").agg(geo.wrap(geo.extent(F.col("lon"))[2]).alias("lon"), F.avg("lat").alias("lat"))
 
 
+SQL["g11_point_in_polygon"] = SQL["g11_point_in_polygon"].replace("STAR", _STAR).replace("LOCS", "c").replace("CENT", _LOC).replace("PINGS", _PINGS)
+
+
 @query("j12_context_points", f"""select rec_id, locality, distance_m, cast(rank as integer) as rank from (select *, row_number() over (partition by rec_id order by distance_m, locality) as rank from (
  select a.rec_id, b.locality, round({DIST}, 3) as distance_m from (select distinct rec_id, lon, lat from osm_addresses where {OK_}) a join {_LOC} b on abs(a.lat - b.lat) < 0.5) where distance_m <= 50000) where rank <= 16""")
 def j12(spark, sf):

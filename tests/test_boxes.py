@@ -13,7 +13,7 @@ def test_boxes_over_the_date_line_and_wide_ones(spark, tmp_path):
     pings = [(1, -179.99, 10.01), (2, 180.0, 10.01), (3, 0.0, 10.01), (4, 30.0, 50.5), (5, 6.05, 50.55), (6, -180.0, 10.01), (7, 179.97, 10.01)]
     spark.createDataFrame(pings, "ping_id long, lon double, lat double").write.parquet(f"{tmp_path}/pings.parquet")
     real = build_queries.addresses
-    build_queries.addresses = lambda s, sf: s.createDataFrame(rows, "rec_id long, locality string, lon double, lat double")
+    build_queries.addresses = lambda s, sf, *c: s.createDataFrame(rows, "rec_id long, locality string, lon double, lat double")
     try:
         got = {tuple(r) for r in build_queries.j4(spark, str(tmp_path)).collect()}
         best = {tuple(r) for r in build_queries.a6(spark, str(tmp_path)).collect()}

@@ -38,6 +38,27 @@ def test_empty(spark):
     assert proximity.near_points(none, none.withColumnRenamed("key", "rec"), 30.0, "key", "rec").count() == 0
 
 
+def inside_rings(x, y, edges):
+    odd = np.zeros(len(x), bool)
+    for x0, y0, x1, y1 in edges:
+        if y0 != y1:
+            odd ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+    return odd
+
+
+def test_regions_on_lines_and_the_date_line(spark):
+    """Corners on cell borders, points on edges (inside), rings beyond 180 degrees, many edges."""
+    ring = lambda *p: [{"lon": float(x), "lat": float(y)} for x, y in p]
+    many = ring(*[(45 + 10 * math.cos(t), 45 + 10 * math.sin(t)) for t in np.linspace(0, 2 * math.pi, 5000, endpoint=False)])
+    shapes = [("box", [ring((0, 0), (22.5, 0), (22.5, 22.5), (0, 22.5))]), ("line", [ring((170, -10), (190, -10), (190, 10), (170, 10))]), ("back", [ring((-190, -10), (-170, -10), (-170, 10), (-190, 10))]), ("many", [many])]
+    regions = spark.createDataFrame(shapes, "region string, rings array<array<struct<lon: double, lat: double>>>")
+    at = {1: (0, 0), 2: (22.5, 10), 3: (11.25, 22.5), 4: (22.6, 10), 5: (179.5, 0), 6: (-179.5, 0), 7: (-170.5, 9.9), 8: (-169.5, 0), 9: (180, 0), 10: (-180, 0), 11: (45, 45), 12: (54.99, 45), 13: (55.01, 45), 14: (45, 54.9), 15: (0, 5)}
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in at.items()], "p long, lon double, lat double")
+    got = {tuple(r) for r in proximity.points_in_regions(df, regions, "p", "region").collect()}
+    both = {(p, r) for p in (5, 6, 7, 9, 10) for r in ("line", "back")}
+    assert got == {(2, "box"), (3, "box"), (15, "box"), (11, "many"), (12, "many"), (14, "many")} | both
+
+
 def test_points_in_regions(spark):
     r = random.Random(7)
     ring = [(2 * math.cos(t) * (1 + 0.4 * math.sin(5 * t)), 2 * math.sin(t)) for t in np.linspace(0, 2 * math.pi, 40, endpoint=False)]
@@ -48,5 +69,5 @@ def test_points_in_regions(spark):
     df = spark.createDataFrame(points + points[:3], "p long, lon double, lat double")
     got = {tuple(x) for x in proximity.points_in_regions(df, regions, "p", "region").collect()}
     edges = np.concatenate([np.column_stack([np.array(q), np.roll(np.array(q), -1, 0)]) for q in (ring, hole)])
-    inside = proximity.inside_rings(np.array([p[1] for p in points]), np.array([p[2] for p in points]), edges)
+    inside = inside_rings(np.array([p[1] for p in points]), np.array([p[2] for p in points]), edges)
     assert got == {(p[0], "star") for p, yes in zip(points, inside) if yes}
