@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.operators import hierarchy, proximity, quarantine
-from placeloom.plans import build_queries, element_queries, scalar_queries, search_queries  # noqa: F401  (fills the catalogue)
+from placeloom.plans import answer_queries, build_queries, element_queries, scalar_queries, search_queries  # noqa: F401  (fills the catalogue)
 from placeloom.plans.catalogue import QUERIES, SQL
 from placeloom.runtime import table
 
