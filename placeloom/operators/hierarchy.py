@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from placeloom.runtime import Scratch
@@ -73,9 +73,10 @@ def hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent", p
         F.lit(0).alias("turn"),
     )
     live = scratch.write(live)
-    rounds: list[DataFrame] = []
+    rounds: list[tuple[DataFrame, DataFrame]] = []
     leaf = F.col("kids") == 0
-    while live.filter((F.col("up") != F.col("v")) | F.col("up").isNull()).limit(1).count():
+    open_ = live.filter((F.col("up") != F.col("v")) | F.col("up").isNull()).limit(1).count()
+    while open_:
         below = (
             live.filter("up is not null")
             .groupBy(F.col("up").alias("_b"))
@@ -110,15 +111,19 @@ def hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent", p
             (F.col("ew") + F.when(hung & ~F.col("leaf"), F.col("_ew") + F.col("_acc")).otherwise(F.lit(0))).alias("ew"),
             "acc", (F.col("turn") + 1).alias("turn"), "leaf", "cutout", "child", "child_ew",
         )
-        moved = scratch.write(moved)
-        rounds.append(moved.filter("leaf or cutout"))
+        # what is left to do is counted as the round is written, not by another job
+        seen = Observation()
+        todo = ~F.col("leaf") & ~F.col("cutout") & ((F.col("up") != F.col("v")) | F.col("up").isNull())
+        moved = scratch.write(moved.observe(seen, F.count(F.when(todo, 1)).alias("n")))
+        open_ = seen.get["n"]
+        rounds.append((moved, moved.filter("leaf or cutout")))
         live = moved.filter("not leaf and not cutout").select("v", "up", "kids", "seg", "n", "low", "ew", "acc", "turn")
     size = [F.lit(None).cast("long").alias("size")] if paths else []
     path = [none.alias("path")] if paths else []
     parts = [
         live.select("v", F.col("v").alias("root"), F.lit(0).alias("depth"), F.least("v", "low").alias("cycle_id"), *path, *size)
     ]
-    for late in reversed(rounds):
+    for written, late in reversed(rounds):
         known = reduce(DataFrame.unionByName, parts)
         head = known.select(F.col("v").alias("_v"), *[F.col(c).alias("_" + c) for c in known.columns if c not in ("v", "size")])
         now = late.join(head, late.up == head._v, "left")
@@ -134,6 +139,8 @@ def hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent", p
             F.col("_cycle_id").alias("cycle_id"), *path, *size,
         )
         parts.append(scratch.write(now))
+        if written is not rounds[-1][0]:
+            scratch.drop(written)  # its nodes are placed; the last round stays, as what is left of it is read with the result
     every = reduce(DataFrame.unionByName, parts)
     free = F.col("cycle_id").isNull()
     return every.select(
