@@ -238,7 +238,12 @@ def g6(spark, sf):
     return at.select("row", geo.cell_column(F.col("row"), geo.e7(F.col("lon"))).alias("col")).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g7_rings")
+_N = lambda r: _CELLCOLS.replace("(r + 0.5)", f"({r} + 0.5)")
+
+
+@query("g7_rings", f"""with a as (select rec_id, r, least(cast(floor((cast(round(lon * 10000000) as bigint) + 1800000000) * {_CELLCOLS} / 3600000000) as bigint), {_CELLCOLS} - 1) as c, {_CELLCOLS} as own from (select *, {_CELLROW} as r from {PT})),
+ b as (select *, unnest([r - 1, r, r + 1]) as rr from a), n as (select *, {_N('rr')} as n from b), x as (select rec_id, rr, n, unnest(range(cast(floor((c - 1) * n / own) as bigint), cast(floor((c + 2) * n / own) as bigint) + 1)) as k from n)
+ select distinct rec_id, rr as row, cast(((k % n) + n) % n as bigint) as col from x""")
 def g7(spark, sf):
     at = points(spark, sf).select("rec_id", geo.cell_row(geo.e7(F.col("lat"))).alias("row"), "lon").withColumn("col", geo.cell_column(F.col("row"), geo.e7(F.col("lon"))))
     return at.select("rec_id", F.explode(geo.ring(F.col("row"), F.col("col"))).alias("c")).select("rec_id", "c.row", F.col("c.column").alias("col"))
