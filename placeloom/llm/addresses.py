@@ -80,8 +80,10 @@ def bare_column(text: Column) -> Column:
     one, other, several = _folds()
     c = F.regexp_replace(F.regexp_replace(text, r"[\p{Z}\s\x00-\x1f\x85]+", " "), r"[\p{Cf}\p{Cc}\ufe00-\ufe0f]+", "")
     c = F.lower(F.translate(c, one, other))
+    full = c
     for ch, to in several:
-        c = F.replace(c, F.lit(ch), F.lit(to))
+        full = F.replace(full, F.lit(ch), F.lit(to))
+    c = F.when(c.rlike("[" + "".join(ch for ch, _ in several) + "]"), full).otherwise(c)
     c = F.regexp_replace(F.regexp_replace(c, r"\p{M}+", ""), " +", " ")
     plain = F.regexp_replace(F.lower(text), r"[\s\x00-\x1f\x7f]+", " ")
     # most values are plain; only others take the long way
