@@ -12,6 +12,11 @@ from placeloom.runtime import Scratch
 K1 = 1.2
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: never broadcast. A few MB of Parquet can be more than the driver's heap as rows."""
+    return df.hint("merge")
+
+
 def index_terms(docs: DataFrame, doc_id: str, key: Column) -> DataFrame:
     """``(doc, term, tf)`` of the words of a search key; documents without words have none."""
     words = docs.select(F.col(doc_id).alias("doc"), F.explode(F.split(key, " ")).alias("term")).filter("term != ''")
@@ -96,7 +101,7 @@ def autocomplete(typed: DataFrame, lines: DataFrame, k: int = 10) -> DataFrame:
     Fewer than two characters without the number answer nothing. Keys are used whole, equal ones are answered once.
 
     Lines meet the typed words over the word before the last and the last as a prefix, for lone words over the prefix, of which
-    only those asked for are kept; in any order over the rarest whole word.
+    only those asked for are kept; in any order over the rarest whole word. All joins are merge joins.
     """
     scratch = Scratch(typed.sparkSession, "autocomplete")
     number = r"(^| )([0-9]{1,5}[a-z]?)( |$)"
@@ -113,20 +118,20 @@ def autocomplete(typed: DataFrame, lines: DataFrame, k: int = 10) -> DataFrame:
     places = known.select("line", F.posexplode(w).alias("at", "word"), w.alias("w"))
     starts = places.select("line", "word", F.when(F.col("at") > 0, F.get("w", F.col("at") - 1)).otherwise("").alias("ahead"), F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("last"))
     # a word's prefixes stand both for themselves alone and behind the word before
-    heads = starts.select("line", "last", F.explode(F.array_distinct(F.array("ahead", F.lit("")))).alias("before")).distinct()
-    met = texts.join(heads, ["before", "last"]).filter(F.concat(F.lit(" "), "line").contains(F.concat(F.lit(" "), "words"))).select("words", "line").distinct()
+    heads = starts.select("line", "last", F.explode(F.array_distinct(F.array("ahead", F.lit("")))).alias("before"))
+    met = texts.join(grows(heads), ["before", "last"]).filter(F.concat(F.lit(" "), "line").contains(F.concat(F.lit(" "), "words"))).select("words", "line").distinct()
     met = scratch.write(met)
-    open_ = texts.join(met, "words", "left_anti").filter("before <> ''")
+    open_ = texts.join(grows(met), "words", "left_anti").filter("before <> ''")
     df = places.groupBy("word").agg(F.countDistinct("line").alias("df"))
     wanted = open_.select("words", "last", F.array_distinct(F.slice(v, F.lit(1), F.size(v) - 1)).alias("whole"))
-    counted = wanted.select("words", "last", "whole", F.explode("whole").alias("word")).join(df, "word")
+    counted = wanted.select("words", "last", "whole", F.explode("whole").alias("word")).join(grows(df), "word")
     rarest = counted.groupBy("words", "last", "whole").agg(F.min(F.struct("df", "word")).alias("r"), F.count(F.lit(1)).alias("c")).filter(F.col("c") == F.size("whole"))
-    loose = rarest.select("words", "last", "whole", F.col("r.word").alias("word")).join(places.select("line", "word", "w").distinct(), "word")
+    loose = rarest.select("words", "last", "whole", F.col("r.word").alias("word")).join(grows(places.select("line", "word", "w").distinct()), "word")
     loose = loose.filter((F.size(F.array_except("whole", "w")) == 0) & F.concat(F.lit(" "), "line").contains(F.concat(F.lit(" "), "last"))).select("words", "line").distinct()
-    both = met.withColumn("how", F.lit(1)).unionByName(loose.withColumn("how", F.lit(2))).join(known, "line")
-    forms = asked.select("number", "words").distinct().join(both, "words")
+    both = met.withColumn("how", F.lit(1)).unionByName(loose.withColumn("how", F.lit(2))).join(grows(known), "line")
+    forms = asked.select("number", "words").distinct().join(grows(both), "words")
     have = houses.filter("number is not null").select("line", "number", F.lit(1).alias("house"))
-    forms = forms.join(have, ["line", "number"], "left").fillna(0, ["house"])
+    forms = forms.join(grows(have), ["line", "number"], "left").fillna(0, ["house"])
     best = lowest_per_group(forms.select("number", "words", "line", "how", "house", "n"), ["number", "words"], [F.desc("house"), F.desc("n"), "line"], k)
     best = best.select(F.coalesce("number", F.lit("")).alias("number"), "words", F.col("line").alias("name"), "how", "house", "rank")
-    return asked.fillna("", ["number"]).join(best, ["number", "words"]).select("query_id", "name", "how", "house", "rank")
+    return asked.fillna("", ["number"]).join(grows(best), ["number", "words"]).select("query_id", "name", "how", "house", "rank")
