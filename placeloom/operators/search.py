@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from placeloom.operators.relational import lowest_per_group
@@ -23,44 +28,112 @@ def index_terms(docs: DataFrame, doc_id: str, key: Column) -> DataFrame:
     return words.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+HOT = 2000  # words with more than this part of all postings: as many at most, whatever the size
+PIECE = 20_000  # documents of a hot word that are scored together
+
+
+def _scored(k: int, doc_type: pa.DataType):
+    """The ``k`` best documents of each set of words within a part, the documents of one word; a bucket of parts at a time."""
+
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        docs = docs.sort_by([("part", "ascending"), ("doc", "ascending")]).combine_chunks()
+        asked = asked.combine_chunks()
+        out: dict[str, list] = {"i": [], "row": [], "value": []}
+        n = docs.num_rows
+        if n and asked.num_rows:
+            one = lambda t, c: t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c]
+            parts = pc.dictionary_encode(one(docs, "part"))
+            part = parts.indices.to_numpy()
+            starts = np.searchsorted(part, np.arange(len(parts.dictionary) + 1))
+            words = pc.split_pattern(one(docs, "words"), " ")
+            codes = pc.dictionary_encode(words.flatten())
+            size = len(codes.dictionary)
+            row = np.repeat(np.arange(n, dtype=np.int64), pc.list_value_length(words).to_numpy())
+            posts, tf = np.unique((part[row].astype(np.int64) * size + codes.indices.to_numpy()) * n + row, return_counts=True)
+            key, row, gain = posts // n, posts % n, tf * (K1 + 1) / (tf + K1)
+            terms = pc.split_pattern(one(asked, "w"), " ")
+            idf = one(asked, "idf").flatten().to_numpy()
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(terms).to_numpy())))
+            where = pc.fill_null(pc.index_in(one(asked, "part"), value_set=parts.dictionary), -1).to_numpy()
+            code = pc.fill_null(pc.index_in(terms.flatten(), value_set=codes.dictionary), -1).to_numpy().astype(np.int64)
+            want = np.repeat(where, np.diff(ends)).astype(np.int64) * size + code
+            lo, hi = np.searchsorted(key, want), np.searchsorted(key, want, side="right")
+            hi = np.where(code < 0, lo, hi)
+            for i in np.flatnonzero(where >= 0):
+                start, end = starts[where[i]], starts[where[i] + 1]
+                score = np.zeros(end - start)
+                for j in range(ends[i], ends[i + 1]):
+                    if lo[j] < hi[j]:
+                        score[row[lo[j] : hi[j]] - start] += idf[j] * gain[lo[j] : hi[j]]
+                if len(score) > k:
+                    shown = np.floor(score * 1e6 + 0.5)
+                    least = np.partition(shown, len(shown) - k)[len(shown) - k]
+                    above = np.flatnonzero(shown > least)
+                    best = np.concatenate((above, np.flatnonzero(shown == least)[: k - len(above)]))
+                else:
+                    best = np.arange(len(score))
+                out["i"].append(np.full(len(best), i))
+                out["row"].append(best + start)
+                out["value"].append(score[best])
+        i, row, value = (np.concatenate(v) if v else np.array([], dtype=float if c == "value" else int) for c, v in out.items())
+        return pa.table({"w": asked["w"].take(pa.array(i)).cast(pa.string()), "doc": docs["doc"].take(pa.array(row)).cast(doc_type), "value": pa.array(value, pa.float64())})
+
+    return run
+
+
 def bm25_top(index: DataFrame, queries: DataFrame, query_id: str, key: Column, k: int = 5) -> DataFrame:
     """``(query_id, doc, score, rank)``: best documents by BM25 without length norms, ties by document.
 
     Every document with any word of a query counts; those that cannot be among the best are skipped by an exact bound
     (MaxScore). Documents of a query's rarest words are scored first, the k-th best of them is a floor. Words so common
-    that all of them together stay below the floor fetch no documents by themselves, and the documents of the
-    other words are completed only where they can still reach it. Queries of the same words are answered once.
+    that all of them together stay below the floor fetch no documents by themselves. Queries of the same words are answered once.
+
+    Documents are scored beside the word that fetches them, whole documents against whole queries, and only the ``k`` best of each
+    word leave the task: pairs of a query and a document are never shuffled or written. The documents of a hot word are cut into
+    pieces; hot words that fetch nothing are left out before the shuffle.
     """
     scratch = Scratch(index.sparkSession, "bm25")
     slack = 1e-5  # over what rounding to six digits can move
-    index = scratch.write(index)
-    total = index.select("doc").distinct().agg(F.count(F.lit(1)).alias("_n"))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most")).crossJoin(F.broadcast(total))
-    part = lambda tf: F.col(tf) * (K1 + 1) / (F.col(tf) + K1)
-    idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    words = df.select("term", "df", idf.alias("idf"), (idf * part("most")).alias("bound"))
-    asked = queries.select(F.col(query_id).alias("q"), F.explode(F.split(key, " ")).alias("term")).join(words.select("term"), "term")
+    repeated = F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int"))))
+    docs = scratch.write(index.groupBy("doc").agg(F.array_join(F.array_sort(repeated), " ").alias("words")))
+    doc_type = to_arrow_type(docs.schema["doc"].dataType)
+    said = docs.select("doc", "words", F.explode(F.array_distinct(F.split("words", " "))).alias("term"))
+    repeats = docs.select(F.explode(F.split("words", " ")).alias("term"), "doc").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")).filter("tf > 1")
+    most = repeats.groupBy("term").agg(F.max("tf").alias("more"))
+    n = docs.count()
+    counted = said.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(grows(most), "term", "left").withColumn("most", F.coalesce("more", F.lit(1)))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    words = scratch.write(counted.select("term", "df", idf.alias("idf"), (idf * F.col("most") * (K1 + 1) / (F.col("most") + K1)).alias("bound")))
+    postings = words.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    asked = queries.select(F.col(query_id).alias("q"), F.explode(F.split(key, " ")).alias("term")).join(grows(words.select("term")), "term")
     asked = scratch.write(asked.groupBy("q").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("w")))
     rarest = Window.partitionBy("w").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     commonest = Window.partitionBy("w").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    terms = asked.select("w").distinct().select("w", F.explode(F.split("w", " ")).alias("term")).join(words, "term")
-    terms = terms.withColumn("first", F.coalesce(F.sum("df").over(rarest), F.lit(0)) < 4 * k).withColumn("sum", F.sum("bound").over(commonest))
-    terms = scratch.write(terms)
-    value = (F.col("idf") * part("tf")).alias("value")
-    added = lambda rows: rows.groupBy("w", "doc").agg(F.sum("value").alias("value"))
-    some = added(terms.filter("first").join(index, "term").select("w", "doc", value))
-    some = lowest_per_group(some, ["w"], [F.desc("value"), "doc"], 10 * k).select("w", "doc")
-    some = added(some.join(terms, "w").join(index, ["doc", "term"]).select("w", "doc", value))
-    floor = lowest_per_group(some, ["w"], [F.desc("value"), "doc"], k).groupBy("w").agg(F.min("value").alias("floor"), F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == k)
-    terms = terms.join(floor.select("w", (F.col("floor") - slack).alias("floor")), "w", "left").withColumn("fetch", F.coalesce(F.col("sum") >= F.col("floor"), F.lit(True)))
-    terms = scratch.write(terms)
-    rest = terms.groupBy("w").agg(F.max("floor").alias("floor"), F.sum(F.when(F.col("fetch"), 0.0).otherwise(F.col("bound"))).alias("rest"))
-    found = added(terms.filter("fetch").join(index, "term").select("w", "doc", value))
-    found = scratch.write(found.join(rest, "w").filter("floor is null or value + rest >= floor").select("w", "doc", "value"))
-    more = found.select("w", "doc").join(terms.filter("not fetch"), "w").join(index, ["doc", "term"]).select("w", "doc", value)
-    sums = added(found.unionByName(more)).select("w", "doc", F.round("value", 6).alias("score"))
-    best = lowest_per_group(sums, ["w"], [F.desc("score"), "doc"], k)
-    return asked.join(best, "w").select(F.col("q").alias(query_id), "doc", "score", "rank")
+    terms = asked.select("w").distinct().select("w", F.explode(F.split("w", " ")).alias("term")).join(grows(words), "term")
+    terms = terms.withColumn("first", F.coalesce(F.sum("df").over(rarest), F.lit(0)) < 4 * k)
+    inner = F.array_sort(F.collect_list(F.struct("term", "idf")).over(Window.partitionBy("w")))["idf"]
+    terms = scratch.write(terms.withColumn("sum", F.sum("bound").over(commonest)).withColumn("idf", inner).drop("bound"))
+    buckets = max(12, postings // 50_000)
+
+    def best(fetch: DataFrame) -> DataFrame:
+        used = fetch.select("term").distinct().withColumn("used", F.lit(True))
+        hot = words.filter(F.col("df") * HOT > postings).select("term", F.ceil(F.col("df") / PIECE).cast("int").alias("pieces")).join(used, "term", "left")
+        hot = F.broadcast(scratch.write(hot))
+        part, bucket = F.concat_ws(" ", "term", "piece").alias("part"), F.pmod(F.xxhash64("term", "piece"), F.lit(buckets)).alias("bucket")
+        pieces = F.coalesce("pieces", F.lit(1))
+        held = said.join(hot, "term", "left").filter("pieces is null or used").withColumn("piece", F.pmod(F.xxhash64("doc"), pieces).cast("int")).select(bucket, part, "doc", "words")
+        sought = fetch.join(hot, "term", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).select(bucket, part, "w", "idf")
+        w_doc = StructType([StructField("w", StringType()), docs.schema["doc"], StructField("value", DoubleType())])
+        found = held.groupBy("bucket").cogroup(sought.groupBy("bucket")).applyInArrow(_scored(k, doc_type), w_doc)
+        return scratch.write(found)
+
+    some = best(terms.filter("first"))
+    top = lowest_per_group(some.groupBy("w", "doc").agg(F.max("value").alias("value")), ["w"], [F.desc("value"), "doc"], k)
+    floor = top.groupBy("w").agg((F.min("value") - slack).alias("floor"), F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == k)
+    rest = terms.join(grows(floor), "w", "left").filter("not first and (floor is null or sum >= floor)")
+    found = some.unionByName(best(scratch.write(rest.select("w", "term", "idf"))))
+    sums = found.groupBy("w", "doc").agg(F.round(F.max("value"), 6).alias("score"))
+    return asked.join(grows(lowest_per_group(sums, ["w"], [F.desc("score"), "doc"], k)), "w").select(F.col("q").alias(query_id), "doc", "score", "rank")
 
 
 def deletions(word: Column) -> Column:

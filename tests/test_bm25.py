@@ -28,3 +28,22 @@ def test_bm25_against_scoring_every_document(spark):
                 scores.append((-round(sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2) for w in hit), 6), d))
         want |= {(q, d, i + 1) for i, (_, d) in enumerate(sorted(scores)[:5])}
     assert {(x.query_id, x.doc, x.rank) for x in got} == want and len(got) == len(want)
+
+
+def test_bm25_writes_only_the_best_of_each_word(spark, monkeypatch):
+    """q11: common words together fetch many documents; pairs of a query and a document beyond the best are not written."""
+    pairs, write = [], search.Scratch.write
+
+    def seen(self, df):
+        out = write(self, df)
+        if {"w", "doc"} <= set(out.columns):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(search.Scratch, "write", seen)
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 11} c{i % 13}") for i in range(1001)], "id long, t string")
+    asked = spark.createDataFrame([(7 * b + a, f"a{a} b{b}") for a in range(7) for b in range(11)], "query_id long, q string")
+    got = search.bm25_top(search.index_terms(docs, "id", F.col("t")), asked, "query_id", F.col("q")).collect()
+    want = {(7 * b + a, [i for i in range(1001) if i % 7 == a and i % 11 == b][r], r + 1) for a in range(7) for b in range(11) for r in range(5)}
+    assert {(x.query_id, x.doc, x.rank) for x in got} == want and len(got) == len(want)
+    assert sum(pairs) <= 77 * 2 * 5
