@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions import geo, text
 from placeloom.operators import relational
+from placeloom.operators.search import grows
 from placeloom.plans import build_queries as build
 from placeloom.plans import search_queries as search
 from placeloom.plans.build_queries import _K, _KI, _LOC, DIST, keyed, keyed_imports
@@ -275,7 +276,7 @@ def o8(spark, sf):
     """Answers that carry the house number on the road asked for move first, the others keep their order."""
     p = search.plan(search._asked(spark, sf)).select("query_id", "number", "street")
     k = keyed(spark, sf, "s", "n").withColumnRenamed("rec_id", "doc")
-    r = search.q11(spark, sf).join(p, "query_id", "left").join(k, "doc")
+    r = search.q11(spark, sf).join(grows(p), "query_id", "left").join(grows(k), "doc")
     housed = F.coalesce((F.col("number") == F.col("n")) & (F.col("street") == F.col("s")), F.lit(False))
     w = build.Window.partitionBy("query_id").orderBy(F.when(housed, 0).otherwise(1), "rank")
     return r.select("query_id", "doc", F.row_number().over(w).alias("place"))
